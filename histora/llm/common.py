@@ -44,6 +44,13 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """The join on equal keys, null being equal to null; the keys are those of left."""
+    right = right.select(*(F.col(c).alias(f"_r_{c}" if c in keys else c) for c in right.columns))
+    joined = left.join(right, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys], how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*(f"_r_{c}" for c in keys))
+
+
 def running_sum(df: DataFrame, group: list[str], order: str, value: str, out: str, rows: int) -> DataFrame:
     """Adds out: the sum of value over the group's earlier rows, in the order of (bucket, order).
 
@@ -57,8 +64,7 @@ def running_sum(df: DataFrame, group: list[str], order: str, value: str, out: st
     sums = df.groupBy(*group, "_bucket").agg(F.sum(value).alias("_sum"))
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
     inside = Window.partitionBy(*group, "_bucket").orderBy(order, value).rowsBetween(Window.unboundedPreceding, -1)
-    same = [df[c].eqNullSafe(sums[c]) for c in (*group, "_bucket")]
-    joined = df.join(sums, same, "left").select(*(df[c] for c in df.columns), sums["_before"])
+    joined = null_safe(df, sums, [*group, "_bucket"], "left")
     return joined.withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_before", "_bucket")
 
 

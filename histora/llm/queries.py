@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
