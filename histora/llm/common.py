@@ -91,3 +91,19 @@ def slabs(batches, columns: list[str], text: str, limit: int = 1 << 20):
             if size >= limit or i == len(texts) - 1:
                 yield [x[start : i + 1] for x in data], [t or b"" for t in texts[start : i + 1]]
                 start, size = i + 1, 0
+
+
+#: A key is hot if it holds more than one in HOT rows, so there are fewer than HOT hot keys: few enough to broadcast.
+HOT = 2_000
+
+
+def hot_join(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined to groups, which has each key once and in size the number of its rows.
+
+    Rows of hot keys meet their group by broadcast, so that they need not come together in one task.
+    """
+    hot = groups.where(F.col(size) > F.lit(rows.count() / HOT))
+    few = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    marked = rows.join(few, key, "left")
+    cold = marked.where("_hot IS NULL").drop("_hot").join(groups.join(few, key, "left_anti").hint("merge"), key)
+    return cold.unionByName(marked.where("_hot").drop("_hot").join(F.broadcast(hot), key))

@@ -12,11 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shared_dir, table, written
-
-#: A digest is hot if it holds more than one in HOT rows, so there are fewer than HOT hot digests: small enough to broadcast.
-HOT = 2_000
-
+from .common import ascii_lower, hot_join, shared_dir, table, written
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, digest): SHA-256 in hex of the text lower-cased in A-Z; null counts as empty."""
@@ -58,13 +54,8 @@ def decisions(docs: DataFrame, index: DigestIndex, key: str = "doc_id", text: st
     rows = written(digests(docs, key, text), "digests")
     index.append_new(rows)
     found = index.rows()
-    hot = F.broadcast(found.where(F.col("group_size") > F.lit(rows.count() / HOT)).select("digest", F.lit(True).alias("_hot")))
-    rows = rows.join(hot, "digest", "left")
-    stays = found.join(hot, "digest", "left")
-    cold = rows.where("_hot IS NULL").drop("_hot").join(stays.where("_hot IS NULL").drop("_hot").hint("merge"), "digest")
-    few = F.broadcast(stays.where("_hot").drop("_hot"))
-    warm = rows.where("_hot").drop("_hot").join(few, "digest")
-    return cold.unionByName(warm).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    out = hot_join(rows, found, "digest", "group_size")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, simhash, topk
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op7_topk": topk.op7_topk,
+    "op9_simhash": simhash.op9_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
+    "op7_topk": topk.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
