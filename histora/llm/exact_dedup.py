@@ -62,8 +62,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """The rows of docs that stay, with their columns."""
     spark = docs.sparkSession
     index = DigestIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
-    gone = decisions(docs, index, key, text).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[key].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = decisions(docs, index, key, text).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha"))
+    same = docs[key].eqNullSafe(gone["_gone"]) & (F.sha2(ascii_lower(docs[text]).cast("binary"), 256) == gone["_sha"])
+    return docs.join(gone, same, "left_anti")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,9 +198,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SH
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without those of a group whose id isn't the group's smallest."""
-    gone = groups(docs, key, text).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[key].eqNullSafe(gone["_gone"]), "left_anti")
+    """The rows of docs without those of a group whose id isn't the group's smallest. Rows without an id stay."""
+    gone = groups(docs, key, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
