@@ -60,9 +60,13 @@ def running_sum(df: DataFrame, group: list[str], order: str, value: str, out: st
     """
     buckets = max(1, rows // 10_000)
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(order), F.lit(buckets)))
-    ahead = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy(*group, "_bucket").agg(F.sum(value).alias("_sum"))
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
+    if buckets > 10_000:
+        sums = running_sum(sums.withColumnRenamed("_bucket", "_of"), group, "_of", "_sum", "_before", buckets).withColumnRenamed("_of", "_bucket")
+    else:
+        ahead = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
+    sums = sums.select(*group, "_bucket", "_before")
     inside = Window.partitionBy(*group, "_bucket").orderBy(order, value).rowsBetween(Window.unboundedPreceding, -1)
     joined = null_safe(df, sums, [*group, "_bucket"], "left")
     return joined.withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_before", "_bucket")
