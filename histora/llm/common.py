@@ -56,9 +56,10 @@ def running_sum(df: DataFrame, group: list[str], order: str, value: str, out: st
 
     A window over a whole group would put a hot group into one task. Rows are dealt into hashed buckets
     first: sums of buckets are accumulated over one small row each, then windows run inside a bucket.
-    rows: about how many rows df has; a bucket gets some ten thousand of them.
+    rows: about how many rows df has; a bucket gets some thousand of them, and many buckets are
+    accumulated in the same way.
     """
-    buckets = max(1, rows // 10_000)
+    buckets = max(1, rows // 1_000)
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(order), F.lit(buckets)))
     sums = df.groupBy(*group, "_bucket").agg(F.sum(value).alias("_sum"))
     if buckets > 10_000:

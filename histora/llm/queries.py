@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, simhash, topk
+from . import bpe, exact_dedup, mixing, simhash, topk, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op5_bpe": bpe.op5_bpe,
     "op7_topk": topk.op7_topk,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
