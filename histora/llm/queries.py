@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, simhash, topk, toxicity
+from . import bpe, exact_dedup, html, mixing, simhash, topk, toxicity
 
 QUERIES = {
+    "op1_html": html.op1_html,
     "op2_mixing": mixing.op2_mixing,
     "op5_bpe": bpe.op5_bpe,
     "op7_topk": topk.op7_topk,
