@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html, lm, mixing, simhash, topk, toxicity
+from . import bpe, exact_dedup, html, lm, mixing, simhash, suffix, topk, toxicity
 
 QUERIES = {
     "op1_html": html.op1_html,
     "op2_mixing": mixing.op2_mixing,
     "op3_lm": lm.op3_lm,
+    "op4_suffix": suffix.op4_suffix,
     "op5_bpe": bpe.op5_bpe,
     "op7_topk": topk.op7_topk,
     "op8_toxicity": toxicity.op8_toxicity,
