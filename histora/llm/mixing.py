@@ -74,7 +74,8 @@ class Plan:
         self.rows = sum(r[2] for r in found)
         self.target = targets(list(zip(self.names, self.sizes)), weights)
         self.blocks = [math.ceil(n / block) for n in self.sizes]
-        self.slots = [min(round(t / block), MOST * n) for t, n in zip(self.target, self.blocks)]
+        # a source's last block may be short, so the words of a slot are its blocks' mean length
+        self.slots = [min(round(t * n / size), MOST * n) if size else 0 for t, n, size in zip(self.target, self.blocks, self.sizes)]
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(i, *x) for i, x in enumerate(zip(self.names, self.sizes, self.target))]

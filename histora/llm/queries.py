@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html, lm, mixing, simhash, suffix, topk, toxicity
+from . import bpe, chaining, exact_dedup, html, lm, mixing, simhash, suffix, topk, toxicity
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_lm": lm.op3_lm,
     "op4_suffix": suffix.op4_suffix,
     "op5_bpe": bpe.op5_bpe,
+    "op6_chaining": chaining.op6_chaining,
     "op7_topk": topk.op7_topk,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
