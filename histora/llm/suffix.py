@@ -35,69 +35,81 @@ _LETTERS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF
 # ---------------------------------------------------------------- difference cover
 
 
-def ranks(*columns: np.ndarray) -> np.ndarray:
-    """The dense rank of each row of columns, the first being the most significant; all are non-negative."""
+def packed_keys(*columns: np.ndarray) -> np.ndarray:
+    """One number for each row of columns (non-negative), in the rows' order: side by side in 63 bits, or dense ranks."""
     bits = [max(1, int(c.max()).bit_length()) if len(c) else 1 for c in columns]
     if sum(bits) <= 63:
-        key = np.zeros(len(columns[0]), dtype=np.int64)
-        for c, b in zip(columns, bits):
+        key = columns[0]
+        for c, b in zip(columns[1:], bits[1:]):
             key = (key << b) | c
-        order = np.argsort(key)
-        new = key[order][1:] != key[order][:-1]
-    else:
-        order = np.lexsort(columns[::-1])
-        new = np.zeros(max(0, len(order) - 1), dtype=bool)
-        for c in columns:
-            new |= c[order][1:] != c[order][:-1]
+        return key
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), dtype=np.int64)
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
     out = np.empty(len(order), dtype=np.int64)
-    out[order] = np.concatenate([[0], np.cumsum(new)])[: len(order)]
+    out[order] = np.cumsum(new)
+    return out
+
+
+def dense(key: np.ndarray, table: int = 1 << 22) -> np.ndarray:
+    """The dense rank of each number: by counting if all are below table, else by sorting."""
+    if not len(key):
+        return key
+    if (top := int(key.max())) < table:
+        there = np.zeros(top + 1, dtype=np.int64)
+        there[key] = 1
+        return (np.cumsum(there) - 1)[key]
+    order = np.argsort(key)
+    sorted_ = key[order]
+    out = np.empty(len(key), dtype=np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
     return out
 
 
 def suffix_order(text: np.ndarray, length: int) -> np.ndarray:
-    """Starts of the suffixes of text (positive numbers), in the order of their first length symbols at least.
+    """Starts of the suffixes of text (positive numbers), in the order of their first length symbols at least."""
+    return np.argsort(suffix_ranks(text, length), kind="stable")
 
-    A symbol stands for span symbols of the text at first called; recursion ends when names differ or span that many.
-    """
-    rank = _suffix_ranks(text, length)
-    return np.argsort(rank, kind="stable")
 
+def suffix_ranks(s: np.ndarray, length: float) -> np.ndarray:
+    """For each suffix, how many are less. Suffixes that agree in their first length symbols may count as equal.
 
-def _suffix_ranks(s: np.ndarray, length: float) -> np.ndarray:
+    Each recursion makes a symbol of three, so that it ends when all names differ or they span length symbols.
+    """
     n = len(s)
-    if n < 4 or length <= 1:
-        return ranks(s) if length <= 1 else ranks(*(np.concatenate([s, np.zeros(3, np.int64)])[i : i + n] for i in range(3)))
-    padded = np.concatenate([s, np.zeros(4, dtype=np.int64)])
-    one, two = np.arange(1, n + 2, 3), np.arange(2, n + 2, 3)
+    padded = np.concatenate([s, np.zeros(5, dtype=np.int64)])
+    if n < 4:
+        key = packed_keys(padded[:n], padded[1 : n + 1], padded[2 : n + 2])
+        return np.searchsorted(np.sort(key), key)
+    zero, one, two = np.arange(0, n, 3), np.arange(1, n + 2, 3), np.arange(2, n + 2, 3)
     sample = np.concatenate([one, two])
     # sort the sampled triples and name them
-    names = ranks(padded[sample], padded[sample + 1], padded[sample + 2]) + 1
-    if names.max() < len(sample) and length > 3:
+    names = dense(packed_keys(padded[sample], padded[sample + 1], padded[sample + 2]))
+    if length > 3 and names.max() + 1 < len(sample):
         # recurse on the names: those of the first class, an end, those of the second
-        joined = np.concatenate([names[: len(one)], [0], names[len(one) :]])
-        deeper = _suffix_ranks(joined, length / 3)
-        names = np.concatenate([deeper[: len(one)], deeper[len(one) + 1 :]]) + 1
-    rank = np.zeros(n + 5, dtype=np.int64)
-    rank[sample] = names
+        deeper = suffix_ranks(np.concatenate([names[: len(one)] + 1, [0], names[len(one) :] + 1]), length / 3)
+        less = np.concatenate([deeper[: len(one)], deeper[len(one) + 1 :]]) - 1  # the end itself is less
+    else:
+        less = np.concatenate([[0], np.cumsum(np.bincount(names))])[names]
+    rank = np.zeros(n + 7, dtype=np.int64)
+    rank[sample] = less + 1
     # merge the others: each is set against either class by keys that both have
-    zero = np.arange(0, n, 3)
-    by_one = ranks(np.concatenate([padded[zero], padded[one]]), np.concatenate([rank[zero + 1], rank[one + 1]]))
-    by_two = ranks(
-        np.concatenate([padded[zero], padded[two]]), np.concatenate([padded[zero + 1], padded[two + 1]]), np.concatenate([rank[zero + 2], rank[two + 2]])
-    )
+    by_one = packed_keys(np.concatenate([padded[zero], padded[one]]), np.concatenate([rank[zero + 1], rank[one + 1]]))
+    by_two = packed_keys(*(np.concatenate([x[zero + i], x[two + i]]) for i, x in enumerate((padded, padded, rank))))
     z = len(zero)
+    order = np.argsort(by_one[:z])
+    zeros_one, zeros_two = by_one[order], np.sort(by_two[:z])
     ones, twos = np.sort(by_one[z:]), np.sort(by_two[z:])
-    own = ranks(padded[zero], rank[zero + 1])
-    before_zero = np.sort(own)
-    at_zero = np.searchsorted(before_zero, own) + np.searchsorted(ones, by_one[:z]) + np.searchsorted(twos, by_two[:z])
-    sampled = np.sort(names)
-    zeros_one, zeros_two = np.sort(by_one[:z]), np.sort(by_two[:z])
-    # equal keys on both sides tie: the sampled suffix gets the place of the others equal to it
-    at_one = np.searchsorted(sampled, names[: len(one)]) + np.searchsorted(zeros_one, by_one[z:])
-    at_two = np.searchsorted(sampled, names[len(one) :]) + np.searchsorted(zeros_two, by_two[z:])
     out = np.zeros(n + 5, dtype=np.int64)
-    out[zero], out[one], out[two] = at_zero, at_one, at_two
-    return ranks(out[:n])
+    # needles in order, so that neighbours look in the same place
+    out[zero[order]] = np.searchsorted(zeros_one, zeros_one) + np.searchsorted(ones, zeros_one) + np.searchsorted(twos, by_two[order])
+    at = np.argsort(less[: len(one)])
+    out[one[at]] = less[at] + np.searchsorted(zeros_one, by_one[z + at])
+    at = np.argsort(less[len(one) :])
+    out[two[at]] = less[len(one) + at] + np.searchsorted(zeros_two, by_two[z + at])
+    beyond = (one >= n).sum() + (two >= n).sum()  # empty suffixes are less than all
+    return out[:n] - beyond
 
 
 def repeated_windows(chunks: list[bytes], doc: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
@@ -109,7 +121,7 @@ def repeated_windows(chunks: list[bytes], doc: np.ndarray, start: np.ndarray, le
     inside[begin + sizes] = False
     inside[int(sizes.sum()) + len(chunks) :] = False
     data = np.frombuffer(b"".join(chunks), dtype=np.uint8)
-    text[inside] = data.astype(np.int64) + 1
+    text[inside] = dense(data.astype(np.int64)) + 1
     order = suffix_order(text, length)
     # only whole windows take part
     of = np.repeat(np.arange(len(chunks)), sizes - length + 1)
@@ -118,7 +130,7 @@ def repeated_windows(chunks: list[bytes], doc: np.ndarray, start: np.ndarray, le
     which[begin[of] + within] = np.arange(len(of))
     order = order[which[order] >= 0]
     # compare neighbours: eight bytes at a time
-    raw = text.astype(np.uint8).astype(np.uint64)  # 256 becomes 0, which ends no window
+    raw = (text % 256).astype(np.uint64)  # should 256 become 0, it is still told from the others
     words = np.zeros(len(text), dtype=np.uint64)
     for i in range(8):
         words[: len(text) - i] |= raw[i:] << np.uint64(8 * i)
@@ -130,8 +142,12 @@ def repeated_windows(chunks: list[bytes], doc: np.ndarray, start: np.ndarray, le
     new[1:][equal] = False
     run = np.cumsum(new) - 1
     w = which[order]
-    place = np.empty(len(of), dtype=np.int64)
-    place[np.lexsort((start[of] + within, doc[of]))] = np.arange(len(of))
+    # windows of a chunk are neighbours, and chunks of a document don't share windows
+    by_place = np.lexsort((start, doc))
+    windows = (sizes - length + 1)[by_place]
+    offset = np.empty(len(chunks), dtype=np.int64)
+    offset[by_place] = np.cumsum(windows) - windows
+    place = offset[of] + within
     # a document that is there twice has the same place twice
     first = np.full(run[-1] + 1 if len(run) else 0, np.iinfo(np.int64).max)
     np.minimum.at(first, run, place[w])
