@@ -370,9 +370,9 @@ def dedup_requests(spark, sf):
 
 HEADS = """
 WITH RECURSIVE h AS (SELECT user_id AS repo, row_number() OVER w AS c, CAST(floor(value) AS BIGINT) % 7 AS new, lag(CAST(floor(value) AS BIGINT) % 7) OVER w AS o1, CAST(floor(value) AS BIGINT) % 5 AS o2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-add AS (SELECT repo, new AS head, c AS at, 1 AS a FROM h), tak AS (SELECT DISTINCT repo, head, c AS at, 0 AS a FROM (SELECT repo, c, o1 AS head FROM h UNION ALL SELECT repo, c, o2 FROM h) WHERE head IS NOT NULL),
-m AS (SELECT *, min(CASE WHEN a = 0 THEN at END) OVER (PARTITION BY repo, head ORDER BY at, a ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS removed_at, lag(a) OVER (PARTITION BY repo, head ORDER BY at, a) AS was FROM (SELECT * FROM add UNION ALL SELECT * FROM tak)),
-i AS (SELECT repo, head, at AS added_at, removed_at FROM m WHERE a = 1 AND coalesce(was, 0) = 0)
+add AS (SELECT repo, new AS head, c AS tm, 1 AS a FROM h), tak AS (SELECT DISTINCT repo, head, c AS tm, 0 AS a FROM (SELECT repo, c, o1 AS head FROM h UNION ALL SELECT repo, c, o2 FROM h) WHERE head IS NOT NULL),
+m AS (SELECT *, min(CASE WHEN a = 0 THEN tm END) OVER (PARTITION BY repo, head ORDER BY tm, a ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS removed_at, lag(a) OVER (PARTITION BY repo, head ORDER BY tm, a) AS was FROM (SELECT * FROM add UNION ALL SELECT * FROM tak)),
+i AS (SELECT repo, head, tm AS added_at, removed_at FROM m WHERE a = 1 AND coalesce(was, 0) = 0)
 """
 
 
