@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 # Object kinds and the names that their identifiers are computed with.
 KINDS = {0: "blob", 1: "tree", 2: "commit"}
@@ -28,7 +29,7 @@ def content_id(kind: Column, data: Column) -> Column:
     return F.sha1(F.concat(head.cast("binary"), F.unhex(F.lit("00")), data))
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def digest64(data: pd.Series) -> pd.Series:
     """BLAKE2b of 64 bytes; null stays null."""
     return data.map(lambda b: None if b is None else hashlib.blake2b(b, digest_size=64).digest())
