@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.identity import content_id
+
 
 def glob_to_regex(pattern: str) -> str:
     """A rule's pattern as a regular expression over a path relative to the rule's directory.
@@ -167,3 +169,32 @@ def set_identity(files: DataFrame, scope: list[str], tag: str, bits: int = 512)
     grouped = files.groupBy(*scope).agg(F.array_sort(F.collect_list(part)).alias("_parts"))
     text = F.array_join(F.transform("_parts", lambda p: F.concat(F.octet_length(p["path"]).cast("string"), F.lit(":"), p["path"].cast("string"), F.lit("="), p["oid"])), ";")
     return grouped.select(*scope, F.sha2(F.concat(F.lit(tag + ";"), text).cast("binary"), bits).alias("identity"))
+
+
+def tree_ids(files: DataFrame, scope: list[str], written) -> DataFrame:
+    """(scope, path, id): the id of each directory's tree, the top's path being empty; directories without files have none.
+
+    files: (scope, path, kind, oid in hex), kinds 0 file, 1 executable, 2 symlink. Levels are encoded from the deepest
+    up: a directory's entries are sorted as if directories' names ended in a slash, put together and hashed. A
+    directory's entries are bounded by the size of one object. written cuts lineage.
+    """
+    mode = F.when(F.col("kind") == 1, "100755").when(F.col("kind") == 2, "120000").when(F.col("kind") == 3, "40000").otherwise("100644")
+    place = F.concat(F.col("name").cast("binary"), F.unhex(F.when(F.col("kind") == 3, "2F").otherwise("00")))
+    entry = F.concat(mode.cast("binary"), F.lit(b" "), F.col("name").cast("binary"), F.unhex(F.lit("00")), F.unhex("oid"))
+    parts = F.split("path", "/")
+    rows = files.select(*scope, "path", "kind", "oid", F.size(parts).alias("_depth"))
+    rows = written(rows, "files")
+    depth = rows.agg(F.coalesce(F.max("_depth"), F.lit(0))).first()[0]
+    above = written(rows.where(F.col("_depth") == depth).drop("_depth"), "level")
+    out = None
+    for d in range(depth, 0, -1):
+        named = above.withColumn("name", F.substring_index("path", "/", -1))
+        directory = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+        grouped = named.groupBy(*scope, directory.alias("path")).agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), entry.alias("entry")))).alias("_e"))
+        data = F.aggregate("_e", F.lit(b""), lambda acc, e: F.concat(acc, e["entry"]))
+        trees = written(grouped.select(*scope, "path", content_id(F.lit(1), data).alias("id")), "trees")
+        out = trees if out is None else out.unionByName(trees)
+        if d > 1:
+            here = rows.where(F.col("_depth") == d - 1).drop("_depth")
+            above = here.unionByName(trees.select(*scope, "path", F.lit(3).alias("kind"), F.col("id").alias("oid")))
+    return out if out is not None else files.limit(0).select(*scope, "path", F.col("oid").alias("id"))

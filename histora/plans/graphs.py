@@ -326,3 +326,17 @@ def tree_paths(spark, sf):
     entries = entries.unionByName(n.select(name("r", "n_regionkey").alias("tree"), F.lit(3).alias("kind"), F.col("n_name").alias("name"), name("n", "n_nationkey").alias("oid")))
     entries = entries.unionByName(c.select(name("n", "c_nationkey").alias("tree"), F.lit(0).alias("kind"), F.col("c_name").alias("name"), F.col("c_custkey").cast("string").alias("oid")))
     return policy.tree_paths(r.select(F.col("r_regionkey").alias("commit_id"), name("root", "r_regionkey").alias("tree")), entries, written)
+
+
+@query(
+    "tree_ids",
+    f"""WITH f AS (SELECT split_part(path, '/', 1) AS dir, path AS p, sha1(CAST(max(commit_id) AS VARCHAR)) AS oid FROM ({PATHS_SQL}) WHERE len(string_split(path, '/')) = 2 GROUP BY ALL), e AS (SELECT dir, string_agg(hex(encode('100644 ') || encode(split_part(p, '/', 2)) || '\\x00'::BLOB || unhex(oid)), '' ORDER BY encode(split_part(p, '/', 2))) AS h FROM f GROUP BY dir),
+    t AS (SELECT dir AS path, sha1(encode('tree ' || CAST(length(h) // 2 AS VARCHAR)) || '\\x00'::BLOB || unhex(h)) AS id FROM e), r AS (SELECT string_agg(hex(encode('40000 ') || encode(path) || '\\x00'::BLOB || unhex(id)), '' ORDER BY encode(path || '/')) AS h FROM t)
+    SELECT path, id FROM t UNION ALL SELECT '', sha1(encode('tree ' || CAST(length(h) // 2 AS VARCHAR)) || '\\x00'::BLOB || unhex(h)) FROM r WHERE h IS NOT NULL""",
+)
+def tree_ids(spark, sf):
+    """Pages with a path of two parts as files of one tree; a file's id is that of the last page there."""
+    from ..operators.stages import written
+
+    two = paths(spark, sf).where("size(split(path, '/')) = 2").groupBy("path").agg(F.sha1(F.max("commit_id").cast("string").cast("binary")).alias("oid")).withColumn("kind", F.lit(0))
+    return policy.tree_ids(two, [], written)

@@ -267,6 +267,26 @@ def test_overlay_forced(spark):
     assert got == {"a": "3", "b": ("2", "1", "4"), "d": ("9", None, "9")}
 
 
+def test_tree_ids_match_plain_encoding(spark):
+    sha = lambda b: hashlib.sha1(b).hexdigest()
+    files = {"a": 0, "a.b/x": 1, "a0": 2, "d/e/f": 0, "d/e.g": 0, "d/e0": 0}
+    df = spark.createDataFrame([(1, p, k, sha(p.encode())) for p, k in files.items()], "commit int, path string, kind int, oid string")
+
+    def tree(prefix):
+        names = {}
+        for p, k in files.items():
+            if p.startswith(prefix):
+                name, _, below = p[len(prefix) :].partition("/")
+                names[name] = (b"40000", tree(prefix + name + "/")) if below else ((b"100644", b"100755", b"120000")[k], sha(p.encode()))
+        order = sorted(names, key=lambda n: n + ("/" if names[n][0] == b"40000" else "\0"))
+        data = b"".join(names[n][0] + b" " + n.encode() + b"\0" + bytes.fromhex(names[n][1]) for n in order)
+        assert codecs.parse_tree(data)[1] is None
+        return sha(b"tree %d\0" % len(data) + data)
+
+    got = {r.path: r.id for r in policy.tree_ids(df, ["commit"], written).collect()}
+    assert got == {p: tree(p + "/" if p else "") for p in ("", "a.b", "d", "d/e")}
+
+
 def test_written_survives(spark):
     df = written(spark.range(5), "five")
     assert df.count() == 5 and df.inputFiles()
