@@ -23,7 +23,7 @@ from .common import slabs, table
 
 NONE = np.int64(1) << np.int64(40)
 #: Pieces that a Python worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 80_000
 _SPACE = r"\p{White_Space}"
 
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,6 +160,18 @@ def mix(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, seed: int = SEED)
     return rows.select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))
 
 
+def taken(text: str, runs: list[dict], word: re.Pattern) -> str:
+    """The words of runs (lo, hi), in order."""
+    spans = [m.span() for m in word.finditer(text)]
+    merged: list[list[int]] = []
+    for run in runs:
+        if merged and merged[-1][1] == run["lo"]:
+            merged[-1][1] = run["hi"]
+        else:
+            merged.append([run["lo"], run["hi"]])
+    return "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in merged)
+
+
 def mixed_documents(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
     """The mix itself, with the columns of docs: for each document and pass one row with the words taken in that pass.
 
@@ -176,24 +189,17 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, seed:
     schema = docs.schema
     names = schema.names
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(WORD)
         for batch in batches:
-            texts = []
-            for text, runs in zip(batch["text"], batch["_runs"]):
-                spans = [m.span() for m in word.finditer(text)]
-                merged: list[list[int]] = []
-                for run in runs:
-                    if merged and merged[-1][1] == run["lo"]:
-                        merged[-1][1] = run["hi"]
-                    else:
-                        merged.append([run["lo"], run["hi"]])
-                texts.append("\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in merged))
-            batch["text"] = texts
-            yield batch[names]
+            for start in range(0, batch.num_rows, 100):  # texts and runs as Python objects take much more room than as Arrow
+                some = batch.slice(start, 100)
+                texts = [taken(t, r, word) for t, r in zip(some.column("text").to_pylist(), some.column("_runs").to_pylist())]
+                columns = [pa.array(texts, pa.string()) if n == "text" else some.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     joined = keyed.select("_n", "_row").join(parts, "_n").select("_row.*", "_runs")
-    out = joined.mapInPandas(cut, schema)
+    out = joined.mapInArrow(cut, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out
 
 

@@ -28,7 +28,7 @@ ERRORS, LEAST = 1.5, 2.0
 #: ... and it is in at least this share of the toxic documents.
 RARE = 0.005
 WORDS = re.compile(r"[^\W\d_]+")
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def features(word: str) -> list[str]:
@@ -205,8 +205,10 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast("binary").to_pylist()]
-            yield batch.filter(pa.array(score(texts, known)[0] < REJECT, pa.bool_()))
+            for start in range(0, batch.num_rows, 500):  # so that few texts are Python objects at a time
+                some = batch.slice(start, 500)
+                texts = [t or b"" for t in some.column("text").cast("binary").to_pylist()]
+                yield some.filter(pa.array(score(texts, known)[0] < REJECT, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
