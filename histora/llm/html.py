@@ -4,6 +4,8 @@ The standard library's parser turns a page into events, and these into lines: th
 number of tags met since the last. The ratio of text to tags is smoothed over neighbouring lines with a Gaussian;
 lines above a threshold form the clusters that say which regions of the page are content. A region's lines are all
 taken, short ones too, unless they stand in an element that is never content (menus, adverts, comments and the like).
+Lines of <article> and <main> weigh more, and each article is a region of its own. An element that only its class, id or
+role tells to be no content is kept if it holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from .common import slabs, table
 
 #: Standard deviation of the Gaussian in lines, and the threshold in standard deviations of the smoothed ratios.
 SIGMA, THRESHOLD = 1.0, 0.5
+#: What the ratio of a line in <article> or <main> counts.
+WEIGHT = 2.0
 
 # Elements of HTML by what they mean for extraction.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,10 +52,12 @@ _OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}
 _FENCE = frozenset("article aside body div dl footer form header html main nav ol section table ul".split())
 
 
+def hidden(attributes: list[tuple[str, str | None]]) -> bool:
+    return any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attributes)
+
+
 def marked(attributes: list[tuple[str, str | None]]) -> bool:
     for name, value in attributes:
-        if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
-            return True
         if value and name in ("class", "id", "role"):
             for word in value.lower().split():
                 parts = re.split(r"[-_:\d]+", word)
@@ -65,34 +71,41 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
+        self.open: list[tuple[str, bool, int]] = []
         self.count: dict[str, int] = {}
         self.never = 0
         self.regions: list[tuple[int, bool]] = [(0, False)]
-        self.n_regions, self.tags = 0, 0
-        self.parts: list[str] = []
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.n_regions = 0
+        # marked elements by number: the one around each, and their characters of text; 0 is the page
+        self.mark, self.around, self.size = 0, [0], [0]
+        self.tags: list[int] = []
+        self.parts: list[tuple[str, int]] = []
+        self.lines: list[tuple[list[tuple[str, int]], list[int], int, bool]] = []
 
     def end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        self.parts.clear()
-        if text:
-            self.lines.append((text, self.tags, *self.regions[-1]))
-            self.tags = 0
-
-    def push(self, tag: str, never: bool) -> None:
-        self.open.append((tag, never))
+        if any(not text.isspace() for text, _ in self.parts):
+            self.lines.append((self.parts, self.tags, *self.regions[-1]))
+            self.parts, self.tags = [], []
+        else:
+            self.parts.clear()
+
+    def push(self, tag: str, never: bool, mark: bool) -> None:
+        self.open.append((tag, never, self.mark))
         self.count[tag] = self.count.get(tag, 0) + 1
         self.never += never
+        if mark:
+            self.around.append(self.mark)
+            self.size.append(0)
+            self.mark = len(self.size) - 1
         if tag in REGIONS:
             number, article = self.regions[-1]
-            if not article:
+            if not article or tag == "article":
                 self.n_regions += 1
-                number, article = self.n_regions, tag in ("article", "main")
+                number, article = self.n_regions, article or tag in ("article", "main")
             self.regions.append((number, article))
 
     def pop(self) -> str:
-        tag, never = self.open.pop()
+        tag, never, self.mark = self.open.pop()
         self.count[tag] -= 1
         self.never -= never
         if tag in REGIONS:
@@ -112,7 +125,7 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         if not self.never:
-            self.tags += 1
+            self.tags.append(self.mark)
         if tag in BLOCKS:
             self.end_line()
             if tag in _CLOSES_P:
@@ -120,14 +133,15 @@ class Lines(HTMLParser):
             if tag in _OWN:
                 self.close_within(_OWN[tag])
         elif tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", self.mark))
         if tag in ("body", "html") and self.count.get(tag):
             return
         if tag == "body":
             while self.count.get("head"):
                 self.pop()
         if tag not in VOID:
-            self.push(tag, tag in NEVER or (tag not in ("html", "body", "article", "main") and marked(attributes)))
+            page = tag in ("html", "body")
+            self.push(tag, tag in NEVER or (not page and hidden(attributes)), not page and not self.never and marked(attributes))
 
     def handle_startendtag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attributes)
@@ -136,7 +150,7 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if not self.never:
-            self.tags += 1
+            self.tags.append(self.mark)
         if tag in BLOCKS:
             self.end_line()
         if self.count.get(tag):
@@ -145,13 +159,25 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.never:
-            self.parts.append(data)
+            self.parts.append((data, self.mark))
+            self.size[self.mark] += len(data.strip())
 
     def of(self, html: str) -> list[tuple[str, int, int, bool]]:
         self.feed(html)
         self.close()
         self.end_line()
-        return self.lines
+        for i in range(len(self.size) - 1, 0, -1):
+            self.size[self.around[i]] += self.size[i]
+        left_out = [False]
+        for around, size in zip(self.around[1:], self.size[1:]):
+            left_out.append(left_out[around] or 2 * size <= self.size[0])
+        out, tags = [], 0
+        for parts, marks, region, article in self.lines:
+            tags += sum(not left_out[m] for m in marks)
+            if text := " ".join("".join(part for part, m in parts if not left_out[m]).split()):
+                out.append((text, tags, region, article))
+                tags = 0
+        return out
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -165,11 +191,9 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def main_text(html: str) -> str:
     """The content lines of a page, joined by line feeds; empty if it has none."""
     lines = Lines().of(html)
-    if any(article for *_, article in lines):
-        lines = [x for x in lines if x[3]]
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
+    ratios = smoothed(np.array([len(text) / max(1, tags) * (WEIGHT if article else 1.0) for text, tags, _, article in lines]))
     content = {region for (_, _, region, _), r in zip(lines, ratios) if r >= THRESHOLD * ratios.std()}
     return "\n".join(text for text, _, region, _ in lines if region in content)
 

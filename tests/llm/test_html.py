@@ -48,3 +48,20 @@ def test_smoothing_keeps_constants_and_mass():
     assert np.allclose(html.smoothed(np.full(7, 3.0)), 3.0)
     bump = html.smoothed(np.array([0, 0, 0, 0, 9.0, 0, 0, 0, 0]))
     assert bump.argmax() == 4 and np.allclose(bump, bump[::-1])
+
+
+def test_articles_are_regions_among_others():
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choices("lorem ipsum dolor sit amet consectetur".split(), k=n))
+    one, two, three = text(120), text(90), text(60)
+    cards = "".join(f"<article><ul><li><a href=/{i}>Card</a><li><a href=/>More</a></ul></article>" for i in range(12))
+    found = html.main_text(f"<body><div><p>{one}<p>{two}</div>{cards}</body>").split("\n")
+    assert found[:2] == [one, two] and len(found) < 12
+    assert html.main_text(f"<body><article><p>{one}</article><article class=comment><p>{three}</article></body>") == one
+
+
+def test_marks_on_wrappers():
+    words = "lorem ipsum dolor sit amet " * 20
+    page = f"<body><div class=sidebar-right><div id=header-fixed><div><p>{words}<span class=ad>buy</span></div><div class=ad>{words[:50]}</div></div></div>"
+    assert html.main_text(page) == words.strip()
+    assert html.main_text(f"<body><div hidden><p>{words}</div><p>short") == "short"
