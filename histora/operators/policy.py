@@ -114,7 +114,7 @@ def withheld(paths: DataFrame, anomalies: DataFrame) -> DataFrame:
 
 
 def public_paths(decided: DataFrame) -> DataFrame:
-    """Visible paths; embedded repositories (kind 5) are an error and so kept apart with public = false."""
+    """Visible paths; embedded repositories aren't told apart."""
     return decided.where("NOT hidden").drop("hidden")
 
 

@@ -131,14 +131,32 @@ def turn_levels(spark, sf):
 )
 def kind_levels(spark, sf):
     """Levels of the part of the graph that suppliers, nations and regions make."""
+    return levels(spark, sf, "kind IN (1, 2, 4)")
+
+
+def levels(spark, sf, some):
     name = lambda kind, id_: F.concat_ws(":", kind, id_)
-    some = "kind IN (1, 2, 4)"
     n = nodes(spark, sf).where(some).select(name("kind", "id").alias("node"))
     e = edges(spark, sf).where(some).select(name("kind", "id").alias("node"), name("to_kind", "to_id").alias("to_node"))
     found = graph.topo_levels(n, e)
     return found.groupBy(F.split("node", ":")[0].cast("int").alias("kind"), "level").agg(F.count("*").alias("n"))
 
 
+@query(
+    "graph_levels",
+    """WITH n AS (SELECT n_nationkey AS id, CASE WHEN r_regionkey IS NULL THEN 0 ELSE 1 END AS level FROM nation LEFT JOIN region ON r_regionkey = n_regionkey),
+    s AS (SELECT s_suppkey AS id, coalesce(n.level + 1, 0) AS level FROM supplier LEFT JOIN n ON n.id = s_nationkey),
+    l AS (SELECT l_orderkey, l_orderkey * 8 + l_linenumber AS id, max(greatest(coalesce(s.level + 1, 0), CASE WHEN p_partkey IS NULL THEN 0 ELSE 1 END)) AS level FROM lineitem LEFT JOIN s ON s.id = l_suppkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+    o AS (SELECT o_orderkey AS id, o_custkey, coalesce(max(l.level) + 1, 0) AS level FROM orders LEFT JOIN l ON l.l_orderkey = o_orderkey GROUP BY ALL),
+    c AS (SELECT c_custkey AS id, greatest(coalesce(max(o.level) + 1, 0), coalesce(max(n.level) + 1, 0)) AS level FROM customer LEFT JOIN o ON o.o_custkey = c_custkey LEFT JOIN n ON n.id = c_nationkey GROUP BY c_custkey)
+    SELECT kind, CAST(level AS INTEGER) AS level, count(*) AS n FROM (SELECT 1 AS kind, 0 AS level FROM region UNION ALL SELECT 2, level FROM n UNION ALL SELECT 3, level FROM c UNION ALL SELECT 4, level FROM s
+    UNION ALL SELECT 5, 0 FROM part UNION ALL SELECT 6, level FROM o UNION ALL SELECT 7, level FROM l) GROUP BY ALL""",
+)
+def graph_levels(spark, sf):
+    """Levels of the whole graph."""
+    return levels(spark, sf, "true")
+
+
 @query(
     "observed_outside",
     CHAIN + " SELECT a.node AS head, b.node AS observed FROM t a JOIN t b ON split_part(a.node, ':', 2) = split_part(b.node, ':', 2) AND CAST(split_part(a.node, ':', 1) AS BIGINT) = CAST(split_part(b.node, ':', 1) AS BIGINT) + 1 UNION ALL "
@@ -309,7 +327,17 @@ CASE WHEN l IS NOT DISTINCT FROM r OR b IS NOT DISTINCT FROM r OR b IS NOT DISTI
 @query("overlay_paths", f"SELECT * FROM ({OVERLAY}) WHERE oid IS NOT NULL OR conflict IS NOT NULL")
 def overlay_paths(spark, sf):
     """Documents as three versions of a tree: all of them, the early sources and the late ones."""
-    d = table(spark, sf, "documents").select(F.concat_ws("/", "lang", (F.col("doc_id") % 500).cast("string")).alias("path"), "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("oid"))
+    return overlaid(spark, sf, F.col("doc_id") % 500)
+
+
+@query("overlay_documents", f"SELECT * FROM ({OVERLAY.replace('doc_id % 500', 'doc_id')}) WHERE oid IS NOT NULL OR conflict IS NOT NULL")
+def overlay_documents(spark, sf):
+    """The same with a path for each document."""
+    return overlaid(spark, sf, F.col("doc_id"))
+
+
+def overlaid(spark, sf, number):
+    d = table(spark, sf, "documents").select(F.concat_ws("/", "lang", number.cast("string")).alias("path"), "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("oid"))
     side = lambda rows, agg: rows.groupBy("path").agg(agg("oid").alias("oid"))
     out = policy.overlay(side(d, F.min), side(d.where("source < 'src5'"), F.min), side(d.where("source >= 'src2'"), F.max))
     return out.withColumn("conflict", F.array_join("conflict", "|", "-"))
