@@ -1,11 +1,15 @@
 """Main text of web pages from tag ratios.
 
 The standard library's parser turns a page into events, and these into lines: the text of one block each, with the
-number of tags met since the last. The ratio of text to tags is smoothed over neighbouring lines with a Gaussian;
-lines above a threshold form the clusters that say which regions of the page are content. A region's lines are all
-taken, short ones too, unless they stand in an element that is never content (menus, adverts, comments and the like).
-Lines of <article> and <main> weigh more, and each article is a region of its own. An element that only its class, id or
-role tells to be no content is kept if it holds most of the page's text.
+number of tags met since the last. The ratio of text to tags is smoothed over neighbouring lines with a Gaussian and
+weighed: lines in <article> and <main> count double, lines in elements whose name or class tells that they aren't the
+article (menus, adverts, comments and the like) count nothing. The page's regions (articles, sections, divisions
+and cells of two lines or more, and each such element) fall into two clusters: content are those whose mean ratio is above a threshold, a share of the
+standard deviation over all lines. All lines of a content region are taken, short ones too.
+
+Only what holds no readable text of the page (scripts, styles, forms and their controls, embedded media, the head) is
+left out before ratios are looked at. An element that only its class, id or role tells to be no content weighs as any
+other if it holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ from .common import slabs, table
 
 #: Standard deviation of the Gaussian in lines, and the threshold in standard deviations of the smoothed ratios.
 SIGMA, THRESHOLD = 1.0, 0.5
-#: What the ratio of a line in <article> or <main> counts.
-WEIGHT = 2.0
+#: What the ratio of a line counts in <article> or <main>, and in elements that aren't the article.
+WEIGHT, FOREIGN = 2.0, 0.0
 
 # Elements of HTML by what they mean for extraction.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,11 +38,11 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 NEVER = frozenset(
-    "aside button canvas datalist dialog footer form head header iframe input map menu meter nav noscript object option optgroup progress script search select "
-    "style svg template textarea title video audio math".split()
+    "button canvas datalist form head iframe input map meter noscript object option optgroup progress script select style svg template textarea title video audio math".split()
 )
+AROUND = frozenset("aside dialog footer header menu nav search".split())
 REGIONS = frozenset("article main section div td body".split())
-#: Words in the class, id or role of an element that is never content.
+#: Words in the class, id or role of an element that isn't the article.
 MARKS = frozenset(
     "ad ads adbox adsense adslot advert advertisement adverts advertising alert banner breadcrumb breadcrumbs byline-share comment comments commentlist complementary contentinfo "
     "consent cookie cookies copyright disclaimer disqus dropdown footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification "
@@ -67,25 +71,26 @@ def marked(attributes: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """The lines of a page: text, tags since the last line, and region; text in elements that are never content is left out."""
+    """The lines of a page: text, tags since the last line, region and weight; text in elements that are never content is left out."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []
         self.count: dict[str, int] = {}
         self.never = 0
+        # the open regions, whether each is in an article; the region around each
         self.regions: list[tuple[int, bool]] = [(0, False)]
-        self.n_regions = 0
-        # marked elements by number: the one around each, and their characters of text; 0 is the page
-        self.mark, self.around, self.size = 0, [0], [0]
-        self.tags: list[int] = []
+        self.outer, self.whole = [0], [True]
+        # elements that aren't the article by number: the one around each, their characters of text, whether their name says so; 0 is the page
+        self.mark, self.around, self.size, self.sure = 0, [0], [0], [False]
+        self.tags = 0
         self.parts: list[tuple[str, int]] = []
-        self.lines: list[tuple[list[tuple[str, int]], list[int], int, bool]] = []
+        self.lines: list[tuple[list[tuple[str, int]], int, int, bool]] = []
 
     def end_line(self) -> None:
         if any(not text.isspace() for text, _ in self.parts):
             self.lines.append((self.parts, self.tags, *self.regions[-1]))
-            self.parts, self.tags = [], []
+            self.parts, self.tags = [], 0
         else:
             self.parts.clear()
 
@@ -96,12 +101,14 @@ class Lines(HTMLParser):
         if mark:
             self.around.append(self.mark)
             self.size.append(0)
+            self.sure.append(tag in AROUND)
             self.mark = len(self.size) - 1
         if tag in REGIONS:
             number, article = self.regions[-1]
             if not article or tag == "article":
-                self.n_regions += 1
-                number, article = self.n_regions, article or tag in ("article", "main")
+                self.outer.append(number)
+                self.whole.append(tag == "article")
+                number, article = len(self.outer) - 1, article or tag in ("article", "main")
             self.regions.append((number, article))
 
     def pop(self) -> str:
@@ -124,8 +131,7 @@ class Lines(HTMLParser):
                     return
 
     def handle_starttag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
-        if not self.never:
-            self.tags.append(self.mark)
+        self.tags += not self.never
         if tag in BLOCKS:
             self.end_line()
             if tag in _CLOSES_P:
@@ -141,7 +147,8 @@ class Lines(HTMLParser):
                 self.pop()
         if tag not in VOID:
             page = tag in ("html", "body")
-            self.push(tag, tag in NEVER or (not page and hidden(attributes)), not page and not self.never and marked(attributes))
+            mark = not page and not self.never and (tag in AROUND or marked(attributes))
+            self.push(tag, tag in NEVER or (not page and hidden(attributes)), mark)
 
     def handle_startendtag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attributes)
@@ -149,8 +156,7 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if not self.never:
-            self.tags.append(self.mark)
+        self.tags += not self.never
         if tag in BLOCKS:
             self.end_line()
         if self.count.get(tag):
@@ -162,21 +168,32 @@ class Lines(HTMLParser):
             self.parts.append((data, self.mark))
             self.size[self.mark] += len(data.strip())
 
-    def of(self, html: str) -> list[tuple[str, int, int, bool]]:
+    def of(self, html: str) -> list[tuple[str, int, tuple[int, int], float]]:
+        """(text, tags, region, weight) of each line. A line's inline parts that aren't the article are a line of their own."""
         self.feed(html)
         self.close()
         self.end_line()
         for i in range(len(self.size) - 1, 0, -1):
             self.size[self.around[i]] += self.size[i]
-        left_out = [False]
-        for around, size in zip(self.around[1:], self.size[1:]):
-            left_out.append(left_out[around] or 2 * size <= self.size[0])
-        out, tags = [], 0
-        for parts, marks, region, article in self.lines:
-            tags += sum(not left_out[m] for m in marks)
-            if text := " ".join("".join(part for part, m in parts if not left_out[m]).split()):
-                out.append((text, tags, region, article))
-                tags = 0
+        foreign = [0]
+        for i in range(1, len(self.size)):
+            foreign.append(foreign[self.around[i]] or (i if self.sure[i] or 2 * self.size[i] <= self.size[0] else 0))
+        # a region of one line, such as a cell or an item, is part of the one around it
+        held = [0] * len(self.outer)
+        for _, _, region, _ in self.lines:
+            held[region] += 1
+        final = list(range(len(held)))
+        for i in range(len(held) - 1, 0, -1):
+            if held[i] < 2 and not self.whole[i]:
+                final[i] = self.outer[i]
+                held[self.outer[i]] += held[i]
+        for i in range(1, len(held)):
+            final[i] = final[final[i]] if final[i] != i else i
+        out = []
+        for parts, tags, region, article in self.lines:
+            for mark in dict.fromkeys(foreign[m] for _, m in parts):
+                if text := " ".join("".join(part for part, m in parts if foreign[m] == mark).split()):
+                    out.append((text, tags, (mark, final[region]), FOREIGN if mark else WEIGHT if article else 1.0))
         return out
 
 
@@ -189,20 +206,25 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 
 def main_text(html: str) -> str:
-    """The content lines of a page, joined by line feeds; empty if it has none."""
+    """The content blocks of a page, two line feeds between them; empty if it has none."""
     lines = Lines().of(html)
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(text) / max(1, tags) * (WEIGHT if article else 1.0) for text, tags, _, article in lines]))
-    content = {region for (_, _, region, _), r in zip(lines, ratios) if r >= THRESHOLD * ratios.std()}
-    return "\n".join(text for text, _, region, _ in lines if region in content)
+    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines])) * np.array([weight for *_, weight in lines])
+    number = {region: i for i, region in enumerate(dict.fromkeys(region for _, _, region, _ in lines))}
+    of = np.array([number[region] for _, _, region, _ in lines])
+    mean = np.bincount(of, ratios) / np.bincount(of)
+    # the best region is content wherever the threshold lies
+    content = mean > min(THRESHOLD * ratios.std(), mean.max() * (1 - 1e-9))
+    return "\n\n".join(text for (text, *_), r in zip(lines, of) if content[r])
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row.
 
-    Null and empty pages, and pages without content, have the empty text. Repeated rows keep a row each; an empty
-    table gives an empty result.
+    Null and empty pages, and pages without content, have the empty text. Very long pages are parsed whole, one at a
+    time. Regions with equal ratios fall on the same side. Rows that repeat keep a row each, rows without an id or
+    address as well; other columns of pages, whatever their names, are not looked at. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

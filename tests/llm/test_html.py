@@ -20,7 +20,7 @@ def page(rng, wrap, closing=True):
     top = f"<nav><ul><li><a href=/>{escaped(junk)}</a></ul></nav><header><p>{escaped(junk)}</p></header><div class='cookie-notice'>{escaped(junk)}</div>"
     end = f"<aside><p>{escaped(junk)}</p></aside><section id=comments><article><p>{escaped(junk)}</p></article></section><form><p>{escaped(junk)}</form><footer>{escaped(junk)}"
     head = "<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t='</p><p>no';</script></head><body>"
-    return f"{head}{top}<{wrap}>{body}<div class=\"ad\">{escaped(junk)}</div></{wrap}>{end}", "\n".join(" ".join(b.split()) for b in blocks)
+    return f"{head}{top}<{wrap}>{body}<div class=\"ad\">{escaped(junk)}</div></{wrap}>{end}", "\n\n".join(" ".join(b.split()) for b in blocks)
 
 
 def test_known_pages(spark):
@@ -40,7 +40,7 @@ def test_odd_pages(spark):
     assert len(got) == len(odd) + 1
     assert texts[0] == texts[1] == "" and texts[2] == "plain words" and texts[6] == "deep" and texts[8] == ""
     assert texts[7] == ("long " * 50_000).strip()
-    assert texts[9] == "a b c d\n∉A&bogus;"
+    assert texts[9] == "a b c d\n\n∉A&bogus;"
     assert html.extract(rows.limit(0)).count() == 0
 
 
@@ -55,7 +55,7 @@ def test_articles_are_regions_among_others():
     text = lambda n: " ".join(rng.choices("lorem ipsum dolor sit amet consectetur".split(), k=n))
     one, two, three = text(120), text(90), text(60)
     cards = "".join(f"<article><ul><li><a href=/{i}>Card</a><li><a href=/>More</a></ul></article>" for i in range(12))
-    found = html.main_text(f"<body><div><p>{one}<p>{two}</div>{cards}</body>").split("\n")
+    found = html.main_text(f"<body><div><p>{one}<p>{two}</div>{cards}</body>").split("\n\n")
     assert found[:2] == [one, two] and len(found) < 12
     assert html.main_text(f"<body><article><p>{one}</article><article class=comment><p>{three}</article></body>") == one
 
@@ -65,3 +65,39 @@ def test_marks_on_wrappers():
     page = f"<body><div class=sidebar-right><div id=header-fixed><div><p>{words}<span class=ad>buy</span></div><div class=ad>{words[:50]}</div></div></div>"
     assert html.main_text(page) == words.strip()
     assert html.main_text(f"<body><div hidden><p>{words}</div><p>short") == "short"
+
+
+def plain_page(rng, blocks):
+    """A page whose elements and names tell nothing: links, a text, more links."""
+    links = "".join(f"<div><a href=/{i}><span>{' '.join(rng.choices(WORDS[:8], k=2))}</span></a></div>" for i in range(15))
+    return f"<body><div>{links}</div><div>{''.join(f'<p>{escaped(b)}</p>' for b in blocks)}</div><div>{links}</div></body>"
+
+
+def test_ratios_alone_split_a_page():
+    rng = random.Random(8)
+    for _ in range(40):
+        blocks = [" ".join(rng.choices(WORDS, k=rng.choice([3, 30, 60, 90]))) for _ in range(rng.randint(4, 9))]
+        blocks[1] = " ".join(rng.choices(WORDS, k=80))
+        assert html.main_text(plain_page(rng, blocks)).split("\n\n") == blocks
+
+
+def test_the_threshold_decides(monkeypatch):
+    rng = random.Random(9)
+    text = " ".join(rng.choices(WORDS[:12], k=80))
+    pages = [plain_page(rng, [text] * 4), f"<nav><a>Home</a></nav><article><p>{text}</article><footer>{text}</footer>"]
+    found = [html.main_text(p) for p in pages]
+    assert found == ["\n\n".join([text] * 4), text]
+    monkeypatch.setattr(html, "THRESHOLD", -1e9)
+    for page, before in zip(pages, found):
+        after = html.main_text(page)
+        assert before in after and len(after) > len(before)
+
+
+def test_tables_lists_and_pre_outside_of_articles():
+    rng = random.Random(10)
+    text = lambda n: " ".join(rng.choices(WORDS[:12], k=n))
+    head, one, two, cells, items = text(4), text(70), text(50), [text(3) for _ in range(4)], [text(9) for _ in range(3)]
+    table = f"<table><tr><th>{cells[0]}<th>{cells[1]}<tr><td>{cells[2]}</td><td>{cells[3]}</td></table>"
+    body = f"<h2>{head}</h2><p>{one}{table}<ul>{''.join(f'<li>{i}' for i in items)}</ul><pre>  x = 1\n\n  y =  2</pre><p>{two}"
+    assert html.main_text(f"<main>{body}</main><footer>{one}</footer>").split("\n\n") == [head, one, *cells, *items, "x = 1 y = 2", two]
+    assert html.main_text(f"<nav><li>{head}</nav><footer>{one}</footer>") == ""
