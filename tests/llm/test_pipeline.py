@@ -1,5 +1,6 @@
 """Each stage of the pipeline against brute force on its own input."""
 
+import math
 import random
 from collections import Counter
 
@@ -129,14 +130,48 @@ def test_permutation_is_one_and_taken_matches_brute_force(spark):
     assert {r.doc_id: r.taken for r in mixing.mix(docs).collect() if r["size"]} == want
 
 
-def test_topk_cases(spark):
+def brute_topk(rows, k):
+    """(query_id, rank, vec_id, score) of rows (vec_id, vector of integers), None last among ties."""
+    out = []
+    for i, (q, u) in enumerate(rows):
+        if q is not None and q % 50 == 0:
+            scores = [(-sum(x * y for x, y in zip(u, v)), c is None, c or 0, c) for j, (c, v) in enumerate(rows) if j != i]
+            out += [(q, r, c, -s) for r, (s, _, _, c) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out, key=str)
+
+
+def test_topk_cases(spark, tmp_path):
+    import duckdb
+
     from histora.llm import topk
 
-    rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [0.5]), (6, []), (7, [1.0, 2.0]), (8, [1.0, 2.0]), (8, [1.0, 2.0]), (None, [1.0])]
-    v = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = sorted(tuple(r) for r in topk.top_k(v, v.where("vec_id % 50 = 0"), 3).collect())
-    assert got == [(0, 1, 7, 256 * 256 * 5), (0, 2, 8, 256 * 256 * 5), (0, 3, 5, 256 * 128)]
+    rng = random.Random(11)
+    rows = [(i, [rng.randint(-8, 8) / 8 for _ in range(6)]) for i in range(0, 300)]
+    rows += [(50, rows[50][1]), (50, [1.0] * 6), (7, [3.0, 0.5]), (7, [1.0, 2.0]), (None, [2.0] * 6), (None, [2.0] * 6), (8, []), (100, rows[100][1]), (200, [1.0] * 600)]
+    odd = [(9, None), (150, [1.0, None]), (10, [float("nan")]), (11, [float("inf"), 1.0])]
+    frame = spark.createDataFrame([(i, v, "clash", 1) for i, v in rows + odd], "vec_id long, embedding array<float>, vector string, row int").repartition(5)
+    v = topk.integers(frame)
+    whole = [(i, [math.floor(256 * x) for x in w]) for i, w in rows]
+    for k in (3, 5):
+        got = [tuple(r) for r in topk.top_k(v, v.where("vec_id % 50 = 0"), k).collect()]
+        assert sorted(got, key=str) == brute_topk(whole, k)
+    frame.select("vec_id", "embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(duck.execute(topk.ORACLE).fetchall(), key=str) == brute_topk(whole, 5)
+    small = topk.integers(frame.where("vec_id IN (0, 1)"))
+    assert topk.top_k(small, small.where("vec_id = 0")).count() == 1
     none = v.limit(0)
     assert topk.top_k(none, none).count() == 0
 
 
+def test_topk_groups(spark, monkeypatch):
+    from histora.llm import topk
+
+    monkeypatch.setattr(topk, "CANDIDATES", 16)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rng = random.Random(12)
+    rows = [(i, [rng.randint(-3, 3) for _ in range(4)]) for i in range(1_000)]
+    v = topk.integers(spark.createDataFrame([(i, [x / 256 for x in w]) for i, w in rows], "vec_id long, embedding array<double>"))
+    assert sorted((tuple(r) for r in topk.top_k(v, v.where("vec_id % 50 = 0")).collect()), key=str) == brute_topk(rows, 5)
+
