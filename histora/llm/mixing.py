@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, null_safe, running_sum, table, word_count, written
+from .common import WORD, hot_join, null_safe, running_sum, table, word_count, written
 
 BLOCK = 32
 SHARD = 4_096
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 42
+#: A mix of more sources is refused with an error: targets are set on the driver and sent to all tasks.
+SOURCES = 100_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, most: int = MOST) -> list[float]:
@@ -66,10 +68,13 @@ def permuted(slot: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 class Plan:
-    """Sizes, targets, slots and blocks of each source. One small row a source, so it may stay on the driver."""
+    """Sizes, targets, slots and blocks of each source: one small row a source on the driver, and no more than SOURCES of them."""
 
     def __init__(self, sized: DataFrame, block: int, weights=WEIGHTS):
-        found = [(r[0], r[1] or 0, r[2]) for r in sized.groupBy("source").agg(F.sum("size"), F.count("*")).collect()]
+        by_source = sized.groupBy("source").agg(F.sum("size"), F.count("*"))
+        found = [(r[0], r[1] or 0, r[2]) for r in by_source.limit(SOURCES + 1).collect()]
+        if len(found) > SOURCES:
+            raise ValueError(f"a mix of more than {SOURCES} sources")
         found.sort(key=lambda r: (r[0] is None, r[0] or ""))
         self.names, self.sizes = [r[0] for r in found], [r[1] for r in found]
         self.rows = sum(r[2] for r in found)
@@ -99,10 +104,11 @@ def drawn(spark: SparkSession, plan: Plan, seed: int, shard: int = SHARD) -> Dat
         for batch in batches:
             for i in batch["id"]:
                 counts = np.random.default_rng([seed, int(i)]).multinomial(shard, p)
-                yield pd.DataFrame({"shard": int(i), "s": np.arange(len(p), dtype=np.int32), "n": counts})
+                some = np.flatnonzero(counts)  # a shard's slots at most
+                yield pd.DataFrame({"shard": int(i), "s": some.astype(np.int32), "n": counts[some]})
 
     counts = spark.range(shards).mapInPandas(draw, "shard long, s int, n long")
-    counts = running_sum(counts, ["s"], "shard", "n", "start", shards * len(p))
+    counts = running_sum(counts, ["s"], "shard", "n", "start", shards * min(len(p), shard))
     limits = F.broadcast(spark.createDataFrame([(i, n) for i, n in enumerate(plan.slots)], "s int, slots long"))
     counts = counts.join(limits, "s").withColumn("n", F.greatest(F.lit(0), F.least("n", F.col("slots") - F.col("start"))))
     got = counts.groupBy("s").agg(F.sum("n").alias("got"))
@@ -127,37 +133,51 @@ def placed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
 
 
-def overlaps(sized: DataFrame, plan: Plan, block: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, s, block, lo, hi): the words lo..hi-1 of a document are in that block of its source."""
-    spark = sized.sparkSession
-    lines = null_safe(sized, plan.frame(spark).select("s", "source"), ["source"], "inner")
-    lines = running_sum(lines.where("size > 0"), ["s"], "doc_id", "size", "at", plan.rows)
+def overlaps(units: DataFrame, plan: Plan, block: int) -> DataFrame:
+    """(unit, s, block, lo, hi): the words lo..hi-1 of a unit are in that block of its source.
+
+    units: (unit, source, size, _key). Those of a source follow one another in the order of _key, a hash, and size.
+    """
+    lines = null_safe(units.where("size > 0"), plan.frame(units.sparkSession).select("s", "source"), ["source"], "inner")
+    lines = running_sum(lines, ["s"], "_key", "size", "at", plan.rows)
     lines = lines.withColumn("block", F.explode(F.sequence((F.col("at") / block).cast("long"), ((F.col("at") + F.col("size") - 1) / block).cast("long"))))
     lo = F.greatest(F.lit(0), F.col("block") * block - F.col("at"))
     hi = F.least(F.col("size"), (F.col("block") + 1) * block - F.col("at"))
-    return lines.select("doc_id", "s", "block", lo.alias("lo"), hi.alias("hi"), *extra)
+    return lines.select("unit", "s", "block", lo.alias("lo"), hi.alias("hi"))
+
+
+def numbered(rows: DataFrame, unit: str, many: str, count: int) -> DataFrame:
+    """Adds _nr, the number of a row among those of its unit, 0 where the column many says that it is alone.
+
+    Which of equal rows has which number is all the same; they are counted over buckets of rows by _n, since there may be very many.
+    """
+    several = running_sum(rows.where(f"{many} > 1").withColumn("_one", F.lit(1)), [unit], "_n", "_one", "_nr", count).drop("_one")
+    return rows.where(f"{many} = 1").withColumn("_nr", F.lit(0).cast("long")).unionByName(several.withColumn("_nr", F.col("_nr").cast("long")))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken): how many words of each document the mix takes.
 
     Null texts have size 0 and null sources form a source of their own. Documents without words are returned with
-    taken 0. Repeated rows are documents of their own that share an id: each has its row, and the words that the
-    mix takes from them are shared out by size, so none gets more than three times its own. An empty table gives
-    an empty result.
+    taken 0. Rows of one source that share id and size, such as repeated rows or rows without an id, lie side by side in
+    the mix as one document; each has its row, and the words taken are shared out evenly, the remainder one each, so none
+    is lost and none gets more than three times its own. Very long texts span many blocks. Other columns of docs, whatever their
+    names, are not looked at. More than SOURCES sources are an error. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    sized = written(placed(docs), "sizes")
+    sized = written(placed(docs).withColumn("_n", F.monotonically_increasing_id()), "sizes")
     plan = Plan(sized, block, weights)
+    alike = F.struct("doc_id", "source", "size")
+    units = written(sized.groupBy(alike.alias("unit")).agg(F.count("*").alias("rows")), "units")
+    lines = units.select("unit", "unit.source", (F.col("unit.size") * F.col("rows")).alias("size"), F.xxhash64("unit.doc_id", "unit.size").alias("_key"))
     times = drawn(spark, plan, seed).groupBy("s", "block").count()
-    parts = overlaps(sized, plan, block).join(times, ["s", "block"])
-    taken = parts.groupBy("doc_id", "s").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("count")).alias("all_taken"))
-    rows = null_safe(sized, plan.frame(spark).drop("s"), ["source"], "inner")
-    taken = taken.join(plan.frame(spark).select("s", "source"), "s").drop("s")
-    ids = null_safe(sized.groupBy("doc_id", "source").agg(F.sum("size").alias("_of")), taken, ["doc_id", "source"], "left")
-    rows = null_safe(rows, ids, ["doc_id", "source"], "left")
-    share = F.floor(F.coalesce("all_taken", F.lit(0)) * F.col("size") / F.greatest("_of", F.lit(1)))
-    return rows.select("doc_id", "size", "source_size", "target", share.cast("long").alias("taken"))
+    parts = overlaps(lines, plan, block).join(times, ["s", "block"])
+    got = parts.groupBy("unit").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("count")).alias("all_taken"))
+    shared = written(units.join(got, "unit", "left").select("unit", "rows", F.coalesce("all_taken", F.lit(0)).alias("all_taken")), "taken")
+    rows = numbered(hot_join(sized.withColumn("unit", alike), shared, "unit", "rows"), "unit", "rows", plan.rows)
+    rows = null_safe(rows, plan.frame(spark).drop("s"), ["source"], "inner")
+    one_more = (F.col("_nr") < F.expr("all_taken % rows")).cast("long")
+    return rows.select("doc_id", "size", "source_size", "target", (F.expr("all_taken div rows") + one_more).cast("long").alias("taken"))
 
 
 def taken(text: str, runs: list[dict], word: re.Pattern) -> str:
@@ -177,14 +197,25 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, seed:
 
     Words of neighbouring blocks keep the white space between them, others are set apart by a line feed; n_chars,
     if there, is counted anew. A document that no block was drawn from has no row. Rows that repeat an id are told
-    apart by their place; their order comes from the rows' contents, so reruns agree.
+    apart by their place; their order comes from the rows' contents, so reruns agree. Null texts and sources are as in
+    mix(). Columns of docs may have any names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     row = F.struct(*docs.columns)
-    keyed = written(docs.select(F.xxhash64(row).alias("doc_id"), F.monotonically_increasing_id().alias("_n"), row.alias("_row")), "mix-rows")
-    sized = keyed.select("doc_id", "_n", F.col("_row.source").alias("source"), word_count("_row.text").alias("size"))
+    keyed = written(docs.select(F.xxhash64(row).alias("_key"), F.monotonically_increasing_id().alias("_n"), row.alias("_row")), "mix-rows")
+    sized = keyed.select("_n", "_key", F.col("_row.source").alias("source"), word_count("_row.text").alias("size"))
     plan = Plan(sized, block, weights)
-    parts = overlaps(sized, plan, block, ("_n",)).join(drawn(spark, plan, seed), ["s", "block"])
+    # equal rows are one unit, whose words the rows hold one after the other
+    alike = F.struct("_key", "source", "size")
+    units = written(sized.groupBy(alike.alias("unit")).agg(F.count("*").alias("rows")), "units")
+    lines = units.select("unit", "unit.source", (F.col("unit.size") * F.col("rows")).alias("size"), "unit._key")
+    drawn_parts = overlaps(lines, plan, block).join(drawn(spark, plan, seed), ["s", "block"]).select("unit", "pass", "lo", "hi")
+    rows = numbered(hot_join(sized.withColumn("unit", alike), units, "unit", "rows"), "unit", "rows", plan.rows)
+    parts = drawn_parts.withColumn("_nr", F.explode(F.expr("sequence(lo div unit.size, (hi - 1) div unit.size)")))
+    start = F.col("_nr") * F.col("unit.size")
+    own = lambda x: F.least(F.greatest(F.col(x) - start, F.lit(0)), F.col("unit.size")).alias(x)
+    parts = parts.select("unit", "_nr", "pass", own("lo"), own("hi"))
+    parts = rows.select("unit", "_nr", "_n").join(parts, ["unit", "_nr"])
     parts = parts.groupBy("_n", "pass").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_runs"))
     schema = docs.schema
     names = schema.names
@@ -194,11 +225,12 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, seed:
         for batch in batches:
             for start in range(0, batch.num_rows, 100):  # texts and runs as Python objects take much more room than as Arrow
                 some = batch.slice(start, 100)
-                texts = [taken(t, r, word) for t, r in zip(some.column("text").to_pylist(), some.column("_runs").to_pylist())]
-                columns = [pa.array(texts, pa.string()) if n == "text" else some.column(n) for n in names]
+                columns = some.column("_row").flatten()
+                texts = [taken(t, r, word) for t, r in zip(columns[names.index("text")].to_pylist(), some.column("_runs").to_pylist())]
+                columns = [pa.array(texts, pa.string()) if n == "text" else c for n, c in zip(names, columns)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = keyed.select("_n", "_row").join(parts, "_n").select("_row.*", "_runs")
+    joined = keyed.select("_n", "_row").join(parts, "_n").select("_row", "_runs")
     out = joined.mapInArrow(cut, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out
 

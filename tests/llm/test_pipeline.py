@@ -6,6 +6,7 @@ from collections import Counter
 
 import public_tokenizers
 from test_dedup import brute_groups, brute_print, fold
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -108,6 +109,14 @@ def test_mixing_cases(spark):
     rows = [(1, None, "a", 0), (2, "", None, 0), (3, "one two three", None, 0), (3, "one two three", None, 0), (4, "w " * 50_000, "b", 0), (None, "x y", "b", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, s int")
     got = mixing.mix(docs).collect()
+    # all words that the mix takes are someone's, also where ids repeat
+    sized = mixing.placed(docs)
+    plan = mixing.Plan(sized, 1)
+    assert sum(r.taken for r in mixing.mix(docs, block=1).collect()) == sum(plan.slots)
+    clash = docs.selectExpr("*", "1 AS _runs", "2 AS _row", "3 AS _n", "4 AS unit", "5 AS rows", "6 AS _key", "7 AS size", "8 AS doc", "9 AS block").unionAll(docs.selectExpr("*", "1", "2", "3", "4", "5", "6", "7", "8", "9").where("doc_id = 4"))
+    mixed = mixing.mixed_documents(clash, block=1)
+    assert mixed.columns == clash.columns
+    assert sum(len(r.text.split()) for r in mixed.collect()) == sum(mixing.Plan(mixing.placed(clash), 1).slots)
     assert sorted(r["size"] for r in got) == [0, 0, 2, 3, 3, 50_000] and all(r.taken <= 3 * r["size"] for r in got)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
     assert mixing.targets([("a", 10), ("b", 10), ("c", 1)]) == [9.0, 9.0, 3.0] or sum(mixing.targets([("a", 10), ("b", 10), ("c", 1)])) == 21
@@ -122,7 +131,8 @@ def test_permutation_is_one_and_taken_matches_brute_force(spark):
     plan = mixing.Plan(mixing.placed(docs), 32)
     slots = Counter((r.s, r.block) for r in mixing.drawn(spark, plan, mixing.SEED).collect())
     at, want = Counter(), {}
-    order = mixing.running_sum(mixing.placed(docs).where("size > 0"), ["source"], "doc_id", "size", "at", plan.rows).collect()
+    keyed = mixing.placed(docs).where("size > 0").withColumn("_key", F.xxhash64("doc_id", "size"))
+    order = mixing.running_sum(keyed, ["source"], "_key", "size", "at", plan.rows).collect()
     for r in order:
         s = plan.names.index(r.source)
         want[r.doc_id] = sum(slots[s, w // 32] for w in range(r.at, r.at + r["size"]))
