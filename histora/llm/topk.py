@@ -153,7 +153,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     c = packed(vectors, CANDIDATES).select(F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("group"), F.col("value").alias("candidates"))
     q = packed(queries, QUERIES).select("block", F.col("value").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     # a merge join takes a block of queries through all candidates of its group before it goes on to the next
-    pairs = q.hint("merge").join(c, "group").select("group", "block", "candidates", "queries")
+    pairs = q.repartition(groups, "group").hint("merge").join(c.repartition(groups, "group"), "group").select("group", "block", "candidates", "queries")
     found = pairs.mapInPandas(scored(k), "row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
