@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +99,32 @@ def slabs(batches, columns: list[str], text: str, limit: int = 1 << 20):
                 start, size = i + 1, 0
 
 
+def whole_groups(batches, keys: list[str], limit: int):
+    """Tables of sorted batches: complete groups of equal keys, some limit rows at a time; a larger group comes alone.
+
+    A task thus holds a few groups, however many rows its partition has.
+    """
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= limit:
+            some = pa.Table.from_batches(held).combine_chunks()
+            changes = np.zeros(rows - 1, dtype=bool)
+            for k in keys:
+                column = np.asarray(some[k])
+                changes |= column[1:] != column[:-1]
+            cut = np.flatnonzero(changes)
+            if len(cut):
+                yield some.slice(0, cut[-1] + 1)
+                held = [b for b in some.slice(cut[-1] + 1).to_batches() if b.num_rows]
+                rows -= cut[-1] + 1
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 #: A key is hot if it holds more than one in HOT rows, so there are fewer than HOT hot keys: few enough to broadcast.
 HOT = 2_000
 
