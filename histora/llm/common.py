@@ -114,7 +114,7 @@ def whole_groups(batches, keys: list[str], limit: int):
             some = pa.Table.from_batches(held).combine_chunks()
             changes = np.zeros(rows - 1, dtype=bool)
             for k in keys:
-                column = np.asarray(some[k])
+                column = np.asarray(some[k].fill_null(0))
                 changes |= column[1:] != column[:-1]
             cut = np.flatnonzero(changes)
             if len(cut):

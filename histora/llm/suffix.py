@@ -6,10 +6,12 @@ Which byte strings of LENGTH bytes start earlier as well is found in three steps
    windows have equal anchors, so all windows of an anchor can be settled apart from all others. An anchor's windows
    are neighbours; they and their text make a chunk. Anchors that occur once settle nothing and go.
 2. Of equal chunks all but the first are repeated as a whole. They are taken out before the shuffle in each task and
-   after it, so a passage that very many documents share is not gathered in one task.
-3. Anchors with chunks that differ are dealt over tasks, and each task builds the suffix array of its chunks: sampled
-   triples are sorted and named, names are sorted by recursion, the other suffixes are merged in. Windows that are
-   neighbours in the array and have the same LENGTH bytes are equal; all but the earliest are repeated.
+   after it, so a passage that very many documents share is not gathered in one task. Chunks are equal if the 64-bit
+   hashes of their anchors, and 64-bit hashes of the whole chunks with the place of the anchor, are: bytes aren't compared here.
+3. Anchors with chunks that differ are dealt over tasks, and each task builds suffix arrays of its chunks, some anchors at
+   a time: sampled triples are sorted and named, names are sorted by recursion, the other suffixes are merged in. Windows
+   that are neighbours in the array and have the same LENGTH bytes are equal; all but the earliest are repeated. The chunks of
+   an anchor that has very many, as among near copies, are cut into windows, and these are dealt by their own hashes.
 """
 
 from __future__ import annotations
@@ -23,11 +25,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, slabs, table, written
+from .common import HOT, mix64, slabs, table, whole_groups, written
 
 LENGTH, K = 100, 32
 #: About how many bytes of chunks one suffix array holds; an anchor with more has an array of its own.
 ARRAY = 1 << 19
+#: An anchor with more chunks than this, and more than one in HOT of all, is cut into windows.
+MANY = 256
+#: Rows that are looked at together.
+MOST = 1_000_000
 _B = np.uint64(0x9E3779B97F4A7C55)
 _LETTERS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
@@ -269,25 +275,22 @@ def _sifted(found: DataFrame) -> DataFrame:
     """(key, n, lo, hi, whole): chunks that are repeated as a whole, and first chunks of keys with chunks that differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = [b for b in batches if b.num_rows]
-        if not some:
-            return
-        rows = pa.Table.from_batches(some).combine_chunks()
-        sure = np.asarray(rows["key"].is_null())
-        key, chunk, doc, lo, hi = (np.asarray(rows[c].fill_null(0)) for c in _COLUMNS)
-        s = np.flatnonzero(sure)
-        yield _batch([key[s], doc[s], lo[s], hi[s]], ["key", "n", "lo", "hi"]).append_column("whole", pa.array(np.ones(len(s), dtype=bool)))
-        key, chunk, doc, lo, hi = (x[~sure] for x in (key, chunk, doc, lo, hi))
-        order, first = _first_of_equal(key, chunk, doc, lo)
-        key, doc, lo, hi = (x[order] for x in (key, doc, lo, hi))
-        start = np.ones(len(key), dtype=bool)
-        start[1:] = key[1:] != key[:-1]
-        kinds = np.bincount(np.cumsum(start) - 1, first, minlength=1)[np.cumsum(start) - 1] if len(key) else np.zeros(0)
-        stays = ~first | (kinds > 1)
-        yield _batch([x[stays] for x in (key, doc, lo, hi)], ["key", "n", "lo", "hi"]).append_column("whole", pa.array(~first[stays]))
+        for rows in whole_groups(batches, ["key"], MOST):
+            sure = np.asarray(rows["key"].is_null())
+            key, chunk, doc, lo, hi = (np.asarray(rows[c].fill_null(0)) for c in _COLUMNS)
+            s = np.flatnonzero(sure)
+            yield _batch([key[s], doc[s], lo[s], hi[s]], ["key", "n", "lo", "hi"]).append_column("whole", pa.array(np.ones(len(s), dtype=bool)))
+            key, chunk, doc, lo, hi = (x[~sure] for x in (key, chunk, doc, lo, hi))
+            order, first = _first_of_equal(key, chunk, doc, lo)
+            key, doc, lo, hi = (x[order] for x in (key, doc, lo, hi))
+            start = np.ones(len(key), dtype=bool)
+            start[1:] = key[1:] != key[:-1]
+            kinds = np.bincount(np.cumsum(start) - 1, first, minlength=1)[np.cumsum(start) - 1] if len(key) else np.zeros(0)
+            stays = ~first | (kinds > 1)
+            yield _batch([x[stays] for x in (key, doc, lo, hi)], ["key", "n", "lo", "hi"]).append_column("whole", pa.array(~first[stays]))
 
     dealt = F.coalesce("key", F.xxhash64("n", "lo"))
-    return found.repartition(dealt).mapInArrow(run, "key long, n long, lo long, hi long, whole boolean")
+    return found.repartition(dealt).sortWithinPartitions("key").mapInArrow(run, "key long, n long, lo long, hi long, whole boolean")
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -302,24 +305,72 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.select("n", "doc_id", "text").mapInArrow(run, "n long, doc_id long, text binary")
 
 
+def _windows(text: bytes, key: list[int], lo: list[int], hi: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, lo) of the windows of chunks of a text; a window's key is a hash of its anchor and all its bytes."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    power, inverse = _powers(len(data) + 1)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(_LETTERS[data] * power[: len(data)], dtype=np.uint64)])
+    sizes = np.array(hi) - np.array(lo) + 1
+    at = np.repeat(np.array(lo) - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    return mix64((total[at + LENGTH] - total[at]) * inverse[at] ^ np.repeat(np.array(key, dtype=np.int64).view(np.uint64), sizes)).view(np.int64), at
+
+
 def _with_text(spans: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, n, lo, hi, bytes): the text of the windows of each chunk."""
+    """(key, n, lo, hi, bytes): the text of the windows of each chunk; bytes is null where they are repeated for sure.
+
+    spans: (key, n, lo, hi, many). Chunks of anchors that have many are cut into windows with keys of their own, and of
+    equal windows in a task only the first is sent on.
+    """
+    names = ["key", "n", "lo", "hi", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
+        cut: list[tuple[np.ndarray, ...]] = []
+        texts_of: dict[int, bytes] = {}
+
+        def windows() -> pa.RecordBatch:
+            key, doc, lo = (np.concatenate(x) for x in zip(*cut))
+            order = np.lexsort((lo, doc, key))
+            key, doc, lo = key[order], doc[order], lo[order]
+            first = np.ones(len(key), dtype=bool)
+            first[1:] = key[1:] != key[:-1]
+            # a document that is there twice has the same place twice
+            own = np.ones(len(key), dtype=bool)
+            own[1:] = first[1:] | (doc[1:] != doc[:-1]) | (lo[1:] != lo[:-1])
+            key, doc, lo, first = (x[own] for x in (key, doc, lo, first))
+            found: list[bytes | None] = []
+            last = None
+            for n, a, f in zip(doc.tolist(), lo.tolist(), first.tolist()):
+                window = texts_of[n][a : a + LENGTH]
+                found.append(None if not f and window == last else window)
+                last = window if f else last
+            cut.clear()
+            texts_of.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (key, doc, lo, lo)), pa.array(found, pa.binary())], names)
+
         for batch in batches:
             key, doc, lo, hi, found = [], [], [], [], []
             for n, text, chunks in zip(*(batch.column(c).to_pylist() for c in ("n", "text", "chunks"))):
                 text = press.decompress(text)
+                many = [c for c in chunks if c["many"]]
+                if many:
+                    k, at = _windows(text, *([c[x] for c in many] for x in ("key", "lo", "hi")))
+                    cut.append((k, np.full(len(k), n, dtype=np.int64), at))
+                    texts_of[n] = text
+                    if sum(map(len, texts_of.values())) > 32 << 20 or sum(len(c[0]) for c in cut) > MOST // 4:
+                        yield windows()
                 for c in chunks:
-                    key.append(c["key"])
-                    doc.append(n)
-                    lo.append(c["lo"])
-                    hi.append(c["hi"])
-                    found.append(text[c["lo"] : c["hi"] + LENGTH])
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, doc, lo, hi)), pa.array(found, pa.binary())], ["key", "n", "lo", "hi", "bytes"])
-
-    grouped = spans.groupBy("n").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("chunks"))
+                    if not c["many"]:
+                        key.append(c["key"])
+                        doc.append(n)
+                        lo.append(c["lo"])
+                        hi.append(c["hi"])
+                        found.append(text[c["lo"] : c["hi"] + LENGTH])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, doc, lo, hi)), pa.array(found, pa.binary())], names)
+        if cut:
+            yield windows()
+
+    grouped = spans.groupBy("n").agg(F.collect_list(F.struct("key", "lo", "hi", "many")).alias("chunks"))
     # with all columns of texts, so that the other join reuses this one's shuffle
     joined = grouped.join(texts, "n").select("n", "doc_id", "text", "chunks")
     return joined.mapInArrow(run, "key long, n long, lo long, hi long, bytes binary")
@@ -329,6 +380,11 @@ def _settled(chunks: DataFrame) -> DataFrame:
     """(n, lo, hi): windows that start earlier as well, by one suffix array for some anchors at a time."""
 
     def arrays(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        sure = rows["bytes"].is_null()
+        yield from rows.filter(sure).select(["n", "lo", "hi"]).to_batches()
+        rows = rows.filter(rows["bytes"].is_valid())
+        if not rows.num_rows:
+            return
         key, doc, lo = (np.asarray(rows[c]) for c in ("key", "n", "lo"))
         order = np.lexsort((lo, doc, key))
         key, doc, lo, texts = key[order], doc[order], lo[order], rows["bytes"].take(pa.array(order)).to_pylist()
@@ -351,11 +407,12 @@ def _settled(chunks: DataFrame) -> DataFrame:
                 size, start = 0, end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = [b for b in batches if b.num_rows]
-        if some:
-            yield from arrays(pa.Table.from_batches(some))
+        for rows in whole_groups(batches, ["key"], MOST // 10):
+            yield from arrays(rows)
 
-    return chunks.repartition("key").mapInArrow(run, "n long, lo long, hi long")
+    # rows that are settled go anywhere
+    dealt = F.when(F.col("bytes").isNull(), F.xxhash64("n", "lo")).otherwise(F.col("key"))
+    return chunks.repartition(dealt).sortWithinPartitions("key").mapInArrow(run, "n long, lo long, hi long")
 
 
 def spans_of(size: int, starts: list[dict], length: int) -> list[tuple[int, int]]:
@@ -374,12 +431,18 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     that also starts earlier: in a smaller doc_id, or further left in the same document.
 
     Null texts count as empty. Rows that share an id are ordered by a hash of their text, rows without an id come
-    first; rows equal in both are one document, and each gets its result. An empty table gives an empty result.
+    first; rows equal in both are one document, and each gets its result. Very long texts are looked at whole, each in the
+    memory of one task. Other columns, whatever their names, are not looked at. An empty table gives an empty result.
     """
     rows = numbered(docs, key, text)
     sifted = written(_sifted(_found(rows, LENGTH, K)), "chunks")
     packed = _packed(rows)
-    partly = _settled(_with_text(sifted.where("NOT whole").drop("whole"), packed))
+    partial = sifted.where("NOT whole").drop("whole")
+    # fewer than HOT anchors have more than one in HOT of all chunks
+    limit = max(MANY, partial.count() // HOT)
+    many = partial.groupBy("key").count().where(F.col("count") > limit).select("key", F.lit(True).alias("many"))
+    marked = partial.join(F.broadcast(many), "key", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    partly = _settled(_with_text(marked, packed))
     starts = sifted.where("whole").select("n", "lo", "hi").unionByName(partly)
     grouped = starts.groupBy("n").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
     return packed.join(grouped, "n", "left").select("doc_id", "text", "starts")

@@ -65,6 +65,10 @@ def test_removals(spark, monkeypatch):
     assert sorted(map(tuple, suffix.digested(docs).collect())) == want
     monkeypatch.setattr(suffix, "ARRAY", 1)
     assert sorted(map(tuple, suffix.digested(docs.repartition(5)).collect())) == want
+    # anchors with many chunks are cut into windows
+    monkeypatch.setattr(suffix, "ARRAY", 1 << 19)
+    monkeypatch.setattr(suffix, "MANY", 3)
+    assert sorted(map(tuple, suffix.digested(docs.repartition(3)).collect())) == want
     kept = {r.doc_id: hashlib.sha256(bytes(r.kept)).hexdigest() for r in suffix.deduplicated(docs).collect()}
     assert kept == {r[0]: r[4] for r in want}
 
@@ -76,3 +80,18 @@ def test_shared_ids_null_ids_and_empty(spark):
     assert got[:2] == [(False, 0, 150, 0), (True, 2, 300, 0)]
     assert [g[2] for g in got[2:]] == [400, 400, 404] and got[2] == got[3]
     assert suffix.digested(docs.limit(0)).count() == 0
+
+
+def test_near_copies(spark, monkeypatch):
+    """Copies of one text with a letter replaced here and there: anchors with very many chunks."""
+    rng = random.Random(17)
+    base = "".join(rng.choices("abcdefgh ", k=600))
+    rows = []
+    for i in range(300):
+        at = rng.randrange(600)
+        rows.append((i, base[:at] + rng.choice("xyz") + base[at + 1 :]))
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
+    monkeypatch.setattr(suffix, "MANY", 20)
+    monkeypatch.setattr(suffix, "HOT", 10**9)
+    got = sorted(set(map(tuple, suffix.digested(docs).collect())))
+    assert got == brute([(i, t.encode()) for i, t in rows])
