@@ -112,6 +112,12 @@ def with_headers(headers: Column, tree: Column, parents: Column, signatures: lis
 FLAGS = {" ": "updated", "+": "updated", "*": "updated", "-": "deleted", "=": "up-to-date"}
 
 
+def push_status(lines, requested):
+    """(ref, outcome) of requested refs by the lines (ref, flag, summary) of a push report; those without one are not reported."""
+    found = lines.groupBy("ref").agg(F.first(push_outcome(F.col("flag"), F.col("summary"))).alias("outcome"))
+    return requested.select("ref").join(found, "ref", "left").select("ref", F.coalesce("outcome", F.lit("not reported")).alias("outcome"))
+
+
 def push_outcome(flag: Column, summary: Column) -> Column:
     out = F.when(summary.contains("stale info"), "lease-rejected").when(summary.contains("remote rejected"), "remote-rejected").otherwise("other")
     for f, name in FLAGS.items():

@@ -16,6 +16,8 @@ from ..functions.identity import content_id
 MODES = {b"100644": 0, b"100755": 1, b"120000": 2, b"40000": 3, b"040000": 3, b"160000": 5}
 TREE, COMMIT, GITLINK = 3, 4, 5
 ID_BYTES, HASH_BYTES = 20, 64
+# Fixed value: the header that names the trees of a conflict.
+CONFLICT_TREES = "jj:trees"
 
 
 def parse_tree(data: bytes) -> tuple[list[tuple[int, bytes, bytes]], str | None]:
@@ -112,7 +114,7 @@ def parse_commit(data: bytes) -> dict:
             facts[name] = text
         elif name == "change-id":
             facts["change"] = facts["change"] or text
-        elif name == "jj:trees":
+        elif name == CONFLICT_TREES:
             facts["trees"] = text.split(" ")
         if name == "committer":
             at = 4
@@ -157,7 +159,7 @@ def audit_objects(objects: DataFrame, most: int = 1 << 20) -> DataFrame:
 
 
 # The manifest's first bytes, version, and the sizes of its header and entries; lengths are little-endian.
-MAGIC, VERSION = b"\x44\x53\x50\x4b", 2
+MAGIC, VERSION = b"DSPK", 2
 HEADER_BYTES, HEAD_BYTES, OBJECT_BYTES, CHUNK_BYTES = 96, 20, 44, 80
 # Bounds of a pack.
 LEAST_CHUNK, MOST_CHUNK, MOST_PACK, MOST_OBJECT, MOST_OBJECTS, MOST_HEADS = 64 << 10, 8 << 20, 64 << 20, 1 << 20, 65_536, 4_096
@@ -204,6 +206,53 @@ def parse_manifest(data: bytes) -> dict:
     }
 
 
+def pack_of(objects: list[tuple[int, bytes, bytes]], chunk_bytes: int = LEAST_CHUNK, heads: tuple[bytes, ...] = ()) -> tuple[bytes, list[bytes]]:
+    """(manifest, chunks) of a pack of objects (kind, id, bytes), which parse_manifest reads back."""
+    objects = sorted(objects)
+    whole = b"".join(data for _, _, data in objects)
+    chunks = [whole[i : i + chunk_bytes] for i in range(0, len(whole), chunk_bytes)]
+    digest = lambda b: hashlib.blake2b(b, digest_size=HASH_BYTES).digest()
+    out, at = [struct.pack("<4sHHIIIIQ", MAGIC, VERSION, 0, chunk_bytes, len(heads), len(objects), len(chunks), len(whole)), digest(whole), *sorted(heads)], 0
+    for kind, oid, data in objects:
+        out.append(struct.pack("<B7s20sQQ", kind, bytes(7), oid, at, len(data)))
+        at += len(data)
+    out += [struct.pack("<QI4s64s", i * chunk_bytes, len(c), bytes(4), digest(c)) for i, c in enumerate(chunks)]
+    return b"".join(out), chunks
+
+
+def packed_objects(objects: DataFrame, pack: str) -> DataFrame:
+    """(pack, content, chunks): the manifest and the chunks of each pack of objects (pack, kind, id in hex, bytes). A pack
+    has a bounded size (assign_packs), so it is put together in one group."""
+
+    def build(group: pa.Table) -> pa.Table:
+        rows = {(k, bytes.fromhex(i)): b for k, i, b in zip(*(group[c].to_pylist() for c in ("kind", "id", "bytes")))}
+        manifest, chunks = pack_of([(*key, data) for key, data in rows.items()])
+        return pa.table({"pack": group[pack][:1].cast(pa.int64()), "content": pa.array([manifest], pa.binary()), "chunks": pa.array([chunks], pa.list_(pa.binary()))})
+
+    return objects.select(F.col(pack).cast("long"), "kind", "id", "bytes").groupBy(pack).applyInArrow(build, "pack long, content binary, chunks array<binary>")
+
+
+class TreeEntries:
+    """A table function for SQL: LATERAL tree_entries(bytes) gives (position, kind, name, oid, error)."""
+
+    def eval(self, data: bytes):
+        entries, error = parse_tree(data or b"")
+        if error:
+            yield None, None, None, None, error
+        for i, (kind, name, oid) in enumerate(entries):
+            yield i, kind, name, oid, None
+
+
+def register_functions(spark) -> None:
+    """Makes tree_entries, digest64 and glob_to_regex known to the session's SQL."""
+    from ..functions.identity import digest64
+    from .policy import glob_regex
+
+    spark.udtf.register("tree_entries", F.udtf(TreeEntries, returnType="position int, kind int, name binary, oid binary, error string"))
+    spark.udf.register("digest64", digest64)
+    spark.udf.register("glob_to_regex", glob_regex)
+
+
 def manifests(files: DataFrame) -> DataFrame:
     """(pack_id, error, chunk_bytes, pack_length, pack_hash, heads, objects, chunks) of manifests in the column content;
     a pack's id is the BLAKE2b digest of its manifest."""

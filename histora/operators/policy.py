@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from ..functions.identity import content_id
 
@@ -55,22 +58,18 @@ def ancestors_of(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("path"), i.alias("depth"), (i < F.size(parts)).alias("is_dir")))
 
 
-def decide(paths: DataFrame, rules: list[tuple[str, int, str, bool, bool]], policy_name: str | None = None) -> DataFrame:
-    """(columns of paths, hidden) by rules (directory, line, pattern, negated, dir_only), a bounded list.
+def _private(path: Column, policy_name: str | None) -> Column:
+    return F.lit(False) if policy_name is None else (path == policy_name) | path.endswith("/" + policy_name)
 
-    For each ancestor and the path itself the last matching rule holds, deeper files before shallower ones; a path under
-    an excluded directory is excluded whatever later rules say. Policy files themselves are always hidden.
-    """
-    def rank(rule):
-        return (rule[0].count("/"), rule[1])
 
-    ordered = sorted(rules, key=rank, reverse=True)
+def _decision(rules: list[tuple[str, int, str, bool, bool]], policy_name: str | None) -> Column:
+    """Whether the column path is hidden: looks at the path's row alone."""
+    ordered = sorted(rules, key=lambda r: (r[0].count("/"), r[1]))
 
     def excluded(a: Column) -> Column:
         out = F.lit(False)
-        for directory, _, pattern, negated, dir_only in reversed(ordered):
-            below = F.expr(f"substring(_ancestor.path, {len(directory) + 1})")
-            hit = below.rlike(glob_to_regex(pattern))
+        for directory, _, pattern, negated, dir_only in ordered:
+            hit = F.substr(a["path"], F.lit(len(directory) + 1)).rlike(glob_to_regex(pattern))
             if directory:
                 hit &= a["path"].startswith(directory)
             if dir_only:
@@ -78,12 +77,46 @@ def decide(paths: DataFrame, rules: list[tuple[str, int, str, bool, bool]], poli
             out = F.when(hit, F.lit(not negated)).otherwise(out)
         return out
 
-    columns = paths.columns
-    each = paths.withColumn("_ancestor", F.explode(ancestors_of(F.col("path"))))
-    hidden = each.groupBy(*columns).agg(F.bool_or(excluded(F.col("_ancestor"))).alias("hidden"))
-    if policy_name:
-        hidden = hidden.withColumn("hidden", F.col("hidden") | (F.col("path") == policy_name) | F.col("path").endswith("/" + policy_name))
-    return hidden
+    return F.exists(ancestors_of(F.col("path")), excluded) | _private(F.col("path"), policy_name)
+
+
+def decide(paths: DataFrame, rules: list[tuple[str, int, str, bool, bool]], policy_name: str | None = None) -> DataFrame:
+    """(columns of paths, hidden) by one list of rules (directory, line, pattern, negated, dir_only) for all paths.
+
+    For each ancestor and the path itself the last matching rule holds, deeper files before shallower ones; a path under
+    an excluded directory is excluded whatever later rules say. Policy files themselves are always hidden.
+    """
+    return paths.withColumn("hidden", _decision(rules, policy_name))
+
+
+@pandas_udf(StringType())
+def glob_regex(patterns: pd.Series) -> pd.Series:
+    """glob_to_regex over a column of patterns."""
+    return patterns.map(glob_to_regex, na_action="ignore")
+
+
+def decide_by(paths: DataFrame, rules: DataFrame, scope: list[str], policy_name: str | None = None) -> DataFrame:
+    """(columns of paths, hidden) by the rules of each path's scope (scope, directory, line, pattern, negated, dir_only), as
+    policy_rules() makes them.
+
+    The rules of a scope, such as a commit, are put together into one row in the order in which they hold, so paths meet
+    them by one join, which adaptive execution splits where a scope has very many paths. Patterns are compiled once a rule.
+    """
+    rule = F.struct(
+        (F.length("directory") - F.length(F.replace("directory", F.lit("/"), F.lit("")))).alias("depth"), F.col("line"), F.col("directory"),
+        glob_regex("pattern").alias("regex"), F.col("negated"), F.col("dir_only"),
+    )
+    together = rules.groupBy(*scope).agg(F.array_sort(F.collect_list(rule)).alias("_rules"))
+
+    def hit(a: Column, r: Column) -> Column:
+        below = F.substr(a["path"], F.length(r["directory"]) + 1)
+        return F.startswith(a["path"], r["directory"]) & F.regexp_like(below, r["regex"]) & (~r["dir_only"] | a["is_dir"])
+
+    def excluded(a: Column) -> Column:
+        return F.aggregate("_rules", F.lit(False), lambda out, r: F.when(hit(a, r), ~r["negated"]).otherwise(out))
+
+    hidden = F.coalesce(F.exists(ancestors_of(F.col("path")), excluded), F.lit(False)) | _private(F.col("path"), policy_name)
+    return paths.join(together, scope, "left").select(*paths.columns, hidden.alias("hidden"))
 
 
 def policy_files(paths: DataFrame, name: str) -> DataFrame:
@@ -93,10 +126,7 @@ def policy_files(paths: DataFrame, name: str) -> DataFrame:
 
 def classify_paths(paths: DataFrame, private: list, ignored: list) -> DataFrame:
     """(columns of paths, class): hidden by the private rules, else ignored by the others, else visible."""
-    columns = paths.columns
-    a = decide(paths, private).withColumnRenamed("hidden", "_private")
-    b = decide(paths, ignored).withColumnRenamed("hidden", "_ignored")
-    return a.join(b, columns).select(*columns, F.when(F.col("_private"), "hidden").when(F.col("_ignored"), "ignored").otherwise("visible").alias("class"))
+    return paths.withColumn("class", F.when(_decision(private, None), "hidden").when(_decision(ignored, None), "ignored").otherwise("visible"))
 
 
 def policy_anomalies(entries: DataFrame, name: str, file_kinds: list[int]) -> DataFrame:
@@ -114,10 +144,14 @@ def withheld(paths: DataFrame, anomalies: DataFrame) -> DataFrame:
 
 
 def public_paths(decided: DataFrame) -> DataFrame:
-    """Visible paths; embedded repositories aren't told apart."""
     return decided.where("NOT hidden").drop("hidden")
 
 
+def embedded(decided: DataFrame) -> DataFrame:
+    """Visible paths (with kind) that are embedded repositories, kind 5: a public tree can't hold them, so each is an error."""
+    return decided.where("NOT hidden AND kind = 5").drop("hidden")
+
+
 def leaks(public: DataFrame, rules: list, policy_name: str | None = None) -> DataFrame:
     return decide(public, rules, policy_name).where("hidden").drop("hidden")
 

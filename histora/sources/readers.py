@@ -87,9 +87,9 @@ def _top_fields(schema: str) -> list[str]:
     return [*out, schema[last:].strip()]
 
 
-def request_hash(requests: DataFrame) -> DataFrame:
-    """requests with fingerprint: SHA-512 of their fields as JSON in the order of the schema, lists sorted."""
-    return requests.withColumn("fingerprint", F.sha2(F.to_json(F.struct(*[c for c in requests.columns if c != "raw"]), {"ignoreNullFields": "false"}).cast("binary"), 512))
+def request_hash(requests: DataFrame, bits: int = 512) -> DataFrame:
+    """requests with fingerprint: SHA-2 of so many bits of their fields as JSON in the order of the schema, lists sorted."""
+    return requests.withColumn("fingerprint", F.sha2(F.to_json(F.struct(*[c for c in requests.columns if c != "raw"]), {"ignoreNullFields": "false"}).cast("binary"), bits))
 
 
 def read_pins(spark: SparkSession, path: str) -> DataFrame:
