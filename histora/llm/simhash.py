@@ -9,6 +9,8 @@ grows from one bit to three, so that dense groups are connected before their far
 
 from __future__ import annotations
 
+import re
+from collections import deque
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -18,12 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_join, slabs, table, written
+from .common import hot_join, slabs, table, whole_groups, written
 from .components import components
 
 SHINGLE, ERRORS, SEED = 3, 3, 42
-#: A block with more fingerprints than this is dealt once more, by the blocks of its other 48 bits.
-CROWD = 4_096
+#: Bits of the four blocks that fingerprints are dealt by: first of all 64, then, where more than CROWD fingerprints share a
+#: block, of the other 48, and then of the 36 that are left.
+WIDTHS, CROWD = (16, 12, 9), 4_096
+#: Texts of more bytes are hashed a piece at a time; fingerprints that a task looks at together.
+LONG, MOST = 1 << 20, 1_000_000
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def shingle_hashes(text: bytes, n: int) -> list[int]:
@@ -40,9 +46,34 @@ def shingle_hashes(text: bytes, n: int) -> list[int]:
     return [digest(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[n - 1 :])]
 
 
+def print_of_long(text: bytes, n: int, piece: int = 1 << 16) -> int:
+    """The fingerprint of a long text, in memory that doesn't grow with it."""
+    last: deque[bytes] = deque(maxlen=n)
+    ones, total = np.zeros(64, dtype=np.int64), 0
+    hashes: list[int] = []
+
+    def count() -> None:
+        nonlocal ones, total
+        bits = np.unpackbits(np.array(hashes, dtype=np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones, total = ones + bits.sum(axis=0, dtype=np.int64), total + len(hashes)
+        hashes.clear()
+
+    for m in _WORD.finditer(text):
+        last.append(m.group().lower())
+        if len(last) == n:
+            hashes.append(xxhash.xxh64_intdigest(b" ".join(last), SEED))
+            if len(hashes) == piece:
+                count()
+    if not hashes and not total and last:
+        hashes.append(xxhash.xxh64_intdigest(b" ".join(last), SEED))
+    if hashes:
+        count()
+    return int(np.packbits(ones * 2 > total, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints_of(texts: list[bytes], n: int) -> np.ndarray:
     """A bit is one if it is set in over half the hashes; zero without words."""
-    hashes = [shingle_hashes(t, n) for t in texts]
+    hashes = [shingle_hashes(t, n) if len(t) <= LONG else [] for t in texts]
     sizes = np.array([len(h) for h in hashes])
     out = np.zeros(len(texts), dtype=np.uint64)
     some = sizes > 0
@@ -52,6 +83,9 @@ def fingerprints_of(texts: list[bytes], n: int) -> np.ndarray:
         starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
         ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
         out[some] = np.packbits(ones * 2 > sizes[some][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    for i, t in enumerate(texts):
+        if len(t) > LONG:
+            out[i] = print_of_long(t, n)
     return out
 
 
@@ -162,32 +196,38 @@ def links(reps: DataFrame, errors: int = ERRORS, crowd: int = CROWD) -> DataFram
     reps: (fp, rep_id), each fp once. Edges connect the same rows as all links would, without listing each.
     """
     assert errors <= 3
-    dealt = written(_deal(reps.select("rep_id", F.col("fp").alias("key")), ["rep_id"], "block", 16, 4), "blocks")
-    crowds = dealt.groupBy("block_at", "block").count().where(F.col("count") > crowd).drop("count")
-    thin = dealt.join(crowds, ["block_at", "block"], "left_anti")
-    dense = _deal(dealt.join(crowds, ["block_at", "block"], "left_semi"), ["rep_id", "block_at", "block"], "part", 12, 4)
 
     def run(names: list[str], top: int):
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = [b for b in batches if b.num_rows]
-            if found:
-                rows = pa.Table.from_batches(found)
+            for rows in whole_groups(batches, names, MOST):
                 columns = {c: rows[c].to_numpy() for c in rows.column_names}
                 a, b = linked([columns[c] for c in names], columns["key"].astype(np.uint64), columns["rep_id"], top, errors)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         return join
 
-    first, second = ["block_at", "block"], ["block_at", "block", "part_at", "part"]
-    near = thin.repartition(*first).mapInArrow(run(first, 47), "a long, b long")
-    return near.unionByName(dense.repartition(*second).mapInArrow(run(second, 35), "a long, b long"))
+    rows, names, bits, out = reps.select("rep_id", F.col("fp").alias("key")), [], 64, None
+    for i, width in enumerate(WIDTHS):
+        rows = written(_deal(rows, ["rep_id", *names], f"block{i}", width, 4), "blocks")
+        names = [*names, f"block{i}_at", f"block{i}"]
+        bits -= width
+        thin = rows
+        if i + 1 < len(WIDTHS):
+            crowds = rows.groupBy(*names).count().where(F.col("count") > crowd).drop("count")
+            thin, rows = rows.join(crowds, names, "left_anti"), rows.join(crowds, names, "left_semi")
+        near = thin.repartition(*names).sortWithinPartitions(*names).mapInArrow(run(names, bits - 1), "a long, b long")
+        out = near if out is None else out.unionByName(near)
+        if i + 1 < len(WIDTHS) and not crowds.limit(1).count():
+            break
+    return out
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, errors: int = ERRORS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row.
 
     Null and empty texts have fingerprint zero and are linked like any other. Rows that repeat an id keep a row each.
-    Rows without an id get the component of their fingerprint, null if no row of it has an id. An empty table gives an empty result.
+    Rows without an id get the component of their fingerprint, null if no row of it has an id. Very long texts are hashed a
+    piece at a time. Other columns, whatever their names, are not looked at. An empty table gives an empty result.
     """
     prints = written(fingerprints(docs, key, text, n), "fingerprints")
     reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n")), "reps")

@@ -125,8 +125,10 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FEATURES) -> Model | None:
     """A model from about sample labelled rows, or None if they don't hold both kinds or no feature tells them apart.
 
-    Labels say toxic or not. The grade of a toxic row is 2 if it has more telling words than the median of toxic
-    rows, else 1. Equal texts with equal labels count once.
+    Labels say only toxic or not. The grade of a toxic row is 2 if it has more telling words than the median of toxic
+    rows, else 1: the upper threshold is a rank of one count, made from the features, and no judgement from outside; the lower
+    one, which alone decides what is rejected at REJECT, is that of the labels. Equal texts with equal labels count once.
+    Repeated labels of an id are toxic if any is.
     """
     rows = written(_labelled(docs, labels, sample), "labelled")
     kinds = {int(r[0]): r[1] for r in rows.groupBy("toxic").count().collect()}
@@ -166,8 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
 def severity(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, severity, grade, toxic) for each row: expected grade, likeliest grade, and whether it is rejected.
 
-    Null and empty texts have no features. Without a model, everything has severity 0 and is not toxic.
-    Repeated rows keep a row each; an empty table gives an empty result.
+    Null and empty texts have no features. Very long texts are looked at whole; counts enter as logarithms. Grades that are
+    equally likely give the lower one. Without a model, everything has severity 0 and is not toxic. Rows that repeat, or have no
+    id, keep a row each; other columns, whatever their names, are not looked at. An empty table gives an empty result.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     if model is None:

@@ -37,7 +37,9 @@ def test_exact_dedup_cases(spark):
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got), key=key) == sorted(want, key=key)
     kept = exact_dedup.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 4, 5, 6, 7, 7]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 4, 5, 6, 7]
+    odd = spark.createDataFrame([(None, "a", "y"), (None, "A", "x"), (3, "b", "z"), (3, "b", "z"), (3, "c", None), (3, "B", "q")], "doc_id long, text string, _row string")
+    assert sorted(map(str, (tuple(r) for r in exact_dedup.keep_one(odd).collect()))) == ["(3, 'B', 'q')", "(3, 'c', None)", "(None, 'A', 'x')"]
 
 
 def test_exact_dedup_empty_and_incremental(spark):
@@ -49,6 +51,13 @@ def test_exact_dedup_empty_and_incremental(spark):
     exact_dedup.decisions(first, index(spark, path)).count()
     got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.decisions(later, index(spark, path)).collect()}
     assert got == {8: (1, False), 9: (9, True)}
+    # an index is opened with the buckets it was made with, whatever a later run asks for, and leaves no table behind
+    before = len(spark.catalog.listTables())
+    assert exact_dedup.DigestIndex(spark, path, 64).buckets == 4
+    rows = exact_dedup.decided(docs := later.unionAll(first), path).collect()
+    assert {r.doc_id: (r.keep_id, r.kept) for r in rows} == {1: (1, True), 2: (2, True), 8: (1, False), 9: (9, True)} and docs.count() == 4
+    assert len(spark.catalog.listTables()) == before + 1
+    assert exact_dedup.buckets_for(0) == 16 and exact_dedup.buckets_for(10**9) == 2_000
 
 
 def test_hot_digest_is_split(spark):
@@ -87,6 +96,13 @@ def test_fingerprints(spark):
     assert got == {i: f"{brute_print(t):016x}" for i, t in enumerate(texts)}
 
 
+def test_fingerprints_of_long_texts_a_piece_at_a_time():
+    rng = random.Random(6)
+    for size in (0, 1, 2, 3, 500):
+        text = " ".join(rng.choices("Ab cd\x0bEF \x1cg é".split(" "), k=size))
+        assert simhash.print_of_long(text.encode(), 3, 7) == int(simhash.fingerprints_of([text.encode()], 3)[0]) == brute_print(text)
+
+
 @pytest.mark.parametrize("crowd", [4_096, 2])
 def test_links_find_all_groups(spark, crowd):
     rng = random.Random(2)
