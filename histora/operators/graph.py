@@ -52,11 +52,34 @@ def ancestors(nodes: DataFrame, parents: DataFrame) -> DataFrame:
         width *= 2
 
 
-def is_ancestor(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b, is_ancestor): whether b, by parent edges (node, to_node), reaches a."""
-    reached = closure(pairs.select(F.col("b").alias("source"), F.col("b").alias("node")), edges, ["node"], ["source"])
-    hit = reached.select(F.col("source").alias("b"), F.col("node").alias("a"), F.lit(True).alias("_hit"))
-    return pairs.join(hit, ["a", "b"], "left").select("a", "b", F.col("_hit").isNotNull().alias("is_ancestor"))
+def is_ancestor(pairs: DataFrame, edges: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """(a, b, is_ancestor): whether b, by parent edges (node, to_node), reaches a.
+
+    A walk from b ends once all its pairs are settled. levels: (node, level) such that each node is above its parents; with
+    them a walk doesn't go below the lowest node that it still looks for.
+    """
+    steps = edges.select("node", "to_node")
+    asked = written(pairs.select("a", "b").distinct(), "asked")
+    level = None if levels is None else written(levels.select("node", "level"), "levels")
+    if level is not None:
+        asked = written(asked.join(level.withColumnsRenamed({"node": "a", "level": "_least"}), "a", "left"), "asked")
+    new = written(asked.select(F.col("b").alias("source"), F.col("b").alias("node")).distinct(), "walk")
+    seen, hits, left = [], [], asked
+    while True:
+        hit = written(left.join(new.select(F.col("source").alias("b"), F.col("node").alias("a")), ["a", "b"]).select("a", "b"), "hit")
+        hits.append(hit)
+        seen.append(new)
+        left = written(left.join(hit, ["a", "b"], "left_anti"), "left")
+        walks = left.groupBy(F.col("b").alias("source")).agg(*([] if level is None else [F.min(F.coalesce("_least", F.lit(-1))).alias("_least")]), F.count("*").alias("_n"))
+        at = new.join(walks, "source")
+        if level is not None:
+            at = at.join(level, "node", "left").where("level IS NULL OR level > _least")
+        reached = at.join(steps, "node").select("source", F.col("to_node").alias("node")).distinct()
+        new = written(reached.join(reduce(DataFrame.unionByName, seen), ["source", "node"], "left_anti"), "walk")
+        if not new.limit(1).count():
+            break
+    found = reduce(DataFrame.unionByName, hits).withColumn("_hit", F.lit(True))
+    return pairs.join(found, ["a", "b"], "left").select("a", "b", F.col("_hit").isNotNull().alias("is_ancestor"))
 
 
 def outside_ancestry(observed: DataFrame, edges: DataFrame) -> DataFrame:
@@ -65,12 +88,16 @@ def outside_ancestry(observed: DataFrame, edges: DataFrame) -> DataFrame:
     return tested.where("NOT is_ancestor").select(F.col("b").alias("head"), F.col("a").alias("observed"))
 
 
-def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, level): the longest way to a node without edges; null for members of cycles and what depends on them.
+def topo_levels(nodes: DataFrame, edges: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """(node, level): the longest way to a node without edges; null for members of cycles and what depends on them. Nodes of
+    stop have no level and don't count as targets.
 
     Rounds peel the nodes whose targets all have levels; a level's round reads only edges that are still open.
     edges: (node, to_node), targets outside nodes don't count.
     """
+    if stop is not None:
+        nodes = nodes.join(stop.select("node"), "node", "left_anti")
+        edges = edges.join(stop.select("node"), "node", "left_anti")
     inside = edges.join(nodes.select(F.col("node").alias("to_node")), "to_node", "left_semi").select("node", "to_node").distinct()
     open_edges, level = written(inside, "open"), 0
     rest = written(nodes.select("node").distinct(), "rest")
@@ -88,8 +115,14 @@ def topo_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def chain_levels(nodes: DataFrame, parents: DataFrame) -> DataFrame:
-    """(node, level) over chains: the number of ancestors, in log2 rounds."""
-    return ancestors(nodes, parents).groupBy("node").agg(F.max("distance").alias("level"))
+    """(node, level) over chains: the number of ancestors. Each round doubles how far all nodes have counted, so a chain of
+    length n takes log2 n rounds of one row a node. A parent outside nodes counts but isn't walked on from."""
+    up = parents.where("parent IS NOT NULL").select("node", "parent")
+    state = written(nodes.select("node").join(up, "node", "left").select("node", F.col("parent").alias("jump"), F.col("parent").isNotNull().cast("int").alias("level")), "levels")
+    while state.where("jump IS NOT NULL").limit(1).count():
+        there = state.select(F.col("node").alias("jump"), F.col("jump").alias("_jump"), F.col("level").alias("_level"))
+        state = written(state.join(there, "jump", "left").select("node", F.col("_jump").alias("jump"), (F.col("level") + F.coalesce("_level", F.lit(0))).alias("level")), "levels")
+    return state.select("node", "level")
 
 
 def frontier(nodes: DataFrame, edges: DataFrame) -> DataFrame:

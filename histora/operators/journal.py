@@ -135,65 +135,87 @@ def catalog_conflicts(entries: DataFrame, keys: dict[str, tuple[list[str], str]]
 FOLD = "repo string, sequence long, batch_id string, bookmark string, outcome string"
 
 
-def fold_batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Applies one repository's events in order and yields the outcome of each.
+class BatchFold:
+    """What one repository's batch events have led to: cursors, open batches, the refs these own, and settled batches.
 
     begin opens a batch on a ref if the cursor is as expected and no open batch owns the ref; claim raises the batch's
     fence; recover settles it for the owner of the latest fence: accepted if the observed id is the proposed one (the
     cursor moves), aborted if it is the expected one and nothing was claimed, replay_required if it was, else ambiguous.
-    A settled batch doesn't change.
+    A settled batch doesn't change. The state grows with refs and batches, not with events.
     """
-    cursors: dict = {}
-    open_: dict = {}
-    owner_of: dict = {}
-    settled: dict = {}
-    for batch in rows:
-        out = []
-        for e in batch.sort_values("sequence", kind="stable").itertuples(index=False):
-            value = lambda x: None if x is None or x != x else x
-            expected, proposed, observed, fence = value(e.expected), value(e.proposed), value(e.observed), int(e.fence)
-            if e.kind == "begin":
-                if e.batch_id in settled or e.batch_id in open_:
-                    outcome = "replayed"
-                elif e.bookmark in owner_of:
-                    outcome = "ref_owned"
-                elif cursors.get(e.bookmark) != expected:
-                    outcome = "stale_expectation"
-                else:
-                    open_[e.batch_id] = [e.bookmark, expected, proposed, 0, False]
-                    owner_of[e.bookmark] = e.batch_id
-                    outcome = "begun"
-            elif e.batch_id in settled:
-                outcome = "settled"
-            elif e.batch_id not in open_:
-                outcome = "unknown_batch"
-            elif e.kind == "claim":
-                b = open_[e.batch_id]
-                if fence > b[3]:
-                    b[3], b[4] = fence, True
-                    outcome = "claimed"
-                else:
-                    outcome = "stale_fence"
-            elif fence != open_[e.batch_id][3]:
-                outcome = "stale_fence"
-            else:
-                bookmark, was, new, _, claimed = open_[e.batch_id]
-                outcome = "accepted" if observed == new else ("replay_required" if claimed else "aborted") if observed == was else "ambiguous"
-                if outcome in ("accepted", "aborted"):
-                    del open_[e.batch_id], owner_of[bookmark]
-                    settled[e.batch_id] = outcome
-                    if outcome == "accepted":
-                        cursors[bookmark] = new
-            out.append((e.repo, e.sequence, e.batch_id, e.bookmark, outcome))
-        yield pd.DataFrame(out, columns=["repo", "sequence", "batch_id", "bookmark", "outcome"])
+
+    def __init__(self, state: dict | None = None):
+        state = state or {}
+        self.cursors: dict = state.get("cursors", {})
+        self.open: dict = state.get("open", {})
+        self.settled: dict = state.get("settled", {})
+        self.owner_of = {b[0]: i for i, b in self.open.items()}
+
+    def state(self) -> dict:
+        return {"cursors": self.cursors, "open": self.open, "settled": self.settled}
+
+    def apply(self, kind: str, batch_id: str, bookmark: str, expected, proposed, observed, fence: int) -> str:
+        if kind == "begin":
+            if batch_id in self.settled or batch_id in self.open:
+                return "replayed"
+            if bookmark in self.owner_of:
+                return "ref_owned"
+            if self.cursors.get(bookmark) != expected:
+                return "stale_expectation"
+            self.open[batch_id] = [bookmark, expected, proposed, 0, False]
+            self.owner_of[bookmark] = batch_id
+            return "begun"
+        if batch_id in self.settled:
+            return "settled"
+        if batch_id not in self.open:
+            return "unknown_batch"
+        batch = self.open[batch_id]
+        if kind == "claim":
+            if fence <= batch[3]:
+                return "stale_fence"
+            batch[3], batch[4] = fence, True
+            return "claimed"
+        if fence != batch[3]:
+            return "stale_fence"
+        bookmark, was, new, _, claimed = batch
+        outcome = "accepted" if observed == new else ("replay_required" if claimed else "aborted") if observed == was else "ambiguous"
+        if outcome in ("accepted", "aborted"):
+            del self.open[batch_id], self.owner_of[bookmark]
+            self.settled[batch_id] = outcome
+            if outcome == "accepted":
+                self.cursors[bookmark] = new
+        return outcome
+
+    def rows(self, events: pd.DataFrame) -> list[tuple]:
+        value = lambda x: None if x is None or x != x else x
+        return [
+            (e.repo, e.sequence, e.batch_id, e.bookmark, self.apply(e.kind, e.batch_id, e.bookmark, value(e.expected), value(e.proposed), value(e.observed), int(e.fence)))
+            for e in events.itertuples(index=False)
+        ]
+
+
+FOLD_COLUMNS = ["repo", "sequence", "batch_id", "bookmark", "outcome"]
+
+
+def fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The outcome of each event of rows in the order of repository and sequence; of a repository only its state is held."""
+    now, fold = None, BatchFold()
+    for rows in batches:
+        out: list[tuple] = []
+        for repo, events in rows.groupby("repo", sort=False, dropna=False):
+            if repo != now:
+                now, fold = repo, BatchFold()
+            out += fold.rows(events)
+        yield pd.DataFrame(out, columns=FOLD_COLUMNS)
 
 
 def replay_batches(events: DataFrame) -> DataFrame:
     """The outcome of each event (repo, sequence, kind, batch_id, bookmark, expected, proposed, observed, fence).
 
-    Events of a repository depend on each other, so it is the unit of order; repositories are dealt over tasks.
+    Events of a repository depend on each other, so it is the unit of order. Repositories are dealt over tasks, where their
+    sorted events stream by.
     """
-    return events.groupBy("repo").applyInPandas(lambda rows: next(fold_batches(iter([rows]))), FOLD)
+    return events.repartition("repo").sortWithinPartitions("repo", "sequence").mapInPandas(fold_batches, FOLD)
 
 
 def replay_fetches(requests: DataFrame, durable: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from ..functions.identity import content_id
+from ..functions.identity import content_id, digest64
 
 
 def glob_to_regex(pattern: str) -> str:
@@ -205,6 +205,21 @@ def set_identity(files: DataFrame, scope: list[str], tag: str, bits: int = 512)
     return grouped.select(*scope, F.sha2(F.concat(F.lit(tag + ";"), text).cast("binary"), bits).alias("identity"))
 
 
+def policy_identity(files: DataFrame, scope: list[str], domain: bytes) -> DataFrame:
+    """(scope, identity): BLAKE2b-512 of the domain's bytes and, in byte order of their paths, of each policy file the
+    path's length as eight little-endian bytes, the path and the blob id. Scopes without policy files have no row.
+
+    files: (scope, path, oid in hex).
+    """
+    path = F.col("path").cast("binary")
+    size = F.octet_length(path).cast("long")
+    length = F.concat(*(F.unhex(F.lpad(F.hex(F.shiftrightunsigned(size, 8 * i).bitwiseAND(F.lit(255))), 2, "0")) for i in range(8)))
+    part = F.struct(path.alias("path"), F.concat(length, path, F.unhex("oid")).alias("data"))
+    grouped = files.groupBy(*scope).agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+    data = F.aggregate("_parts", F.lit(domain), lambda out, p: F.concat(out, p["data"]))
+    return grouped.select(*scope, digest64(data).alias("identity"))
+
+
 def tree_ids(files: DataFrame, scope: list[str], written) -> DataFrame:
     """(scope, path, id): the id of each directory's tree, the top's path being empty; directories without files have none.
 

@@ -51,6 +51,20 @@ def streamed(spark, rows, name):
     return jobs.tail(spark, source, rows.schema, 1), f"{source}-out", f"{source}-checkpoint"
 
 
+def in_time(spark, rows, order, name):
+    """A folder to which rows (repo, order, ...) were appended in four ranges of order. A repository's rows of a range are in
+    one file, so triggers that take files as they came see them in order."""
+    source = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    rows = written(rows, name)
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    cuts = [low + (high - low) * i // 4 for i in range(1, 4)] if low is not None else [0] * 3
+    for a, b in zip([None, *cuts], [*cuts, None]):
+        part = rows if a is None else rows.where(F.col(order) >= a)
+        part = part if b is None else part.where(F.col(order) < b)
+        part.repartition(4, "repo").write.mode("append").parquet(source)
+    return source
+
+
 @query("stream_dedup", "SELECT user_id, hour(ts) AS key, count(*) > 0 AS there FROM events GROUP BY ALL")
 def stream_dedup(spark, sf):
     """The keys that a deduplicated stream of requests keeps; which of equal requests comes first depends on the files."""
@@ -64,9 +78,7 @@ def stream_dedup(spark, sf):
 def stream_heads(spark, sf):
     """The head sets that the stateful stream ends with: those of the batch form."""
     rows = transactions(spark, sf).select(F.col("repo").cast("string").alias("repo"), F.col("cursor").cast("long").alias("cursor"), F.col("new_head").cast("string").alias("new_head"), F.col("observed").cast("array<string>").alias("observed"))
-    source = f"{shared_dir(spark)}/heads-{uuid.uuid4().hex}"
-    # files in the order of time, one a trigger
-    rows.withColumn("_part", F.floor(F.col("cursor") / 40)).repartitionByRange(4, "_part", "repo").drop("_part").coalesce(1).write.parquet(source)
+    source = in_time(spark, rows, "cursor", "heads")
     states = jobs.heads_stream(jobs.tail(spark, source, rows.schema, 1))
     parts = f"{source}-out"
     states.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{parts}/n={n}")).option("checkpointLocation", f"{source}-checkpoint").outputMode("update").trigger(availableNow=True).start().awaitTermination()
@@ -94,11 +106,10 @@ def stream_ingest(spark, sf):
 
 @query("stream_batches")
 def stream_batches(spark, sf):
-    """Outcomes of batch events as a stream in one trigger; a test holds them against the batch form."""
+    """Outcomes of batch events as a stream over several triggers; a test holds them against the batch form."""
     rows = batch_events(spark, sf)
-    source = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
-    rows.coalesce(1).write.parquet(source)
-    return jobs.run_to_end(jobs.batches_stream(jobs.tail(spark, source, rows.schema)), f"{source}-out", f"{source}-checkpoint")
+    source = in_time(spark, rows, "sequence", "batches")
+    return jobs.run_to_end(jobs.batches_stream(jobs.tail(spark, source, rows.schema, 4)), f"{source}-out", f"{source}-checkpoint")
 
 
 @query("replay_equals_stream", "SELECT true AS same")

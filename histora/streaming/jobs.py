@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.journal import FOLD
+from ..operators.journal import FOLD, FOLD_COLUMNS, BatchFold
 
 
 def tail(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
@@ -60,14 +60,13 @@ def batches_stream(events: DataFrame) -> DataFrame:
     columns = ["repo", "sequence", "kind", "batch_id", "bookmark", "expected", "proposed", "observed", "fence"]
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = pd.DataFrame(json.loads(state.get[0]), columns=columns) if state.exists else pd.DataFrame(columns=columns)
-        new = pd.concat(list(batches))[columns]
-        rows = pd.concat([old, new]) if len(old) else new
-        out = next(fold_batches(iter([rows.astype({"expected": object, "proposed": object, "observed": object})])))
-        state.update((json.dumps(rows.astype(object).where(rows.notna(), None).values.tolist()),))
-        yield out[out["sequence"].isin(set(new["sequence"]))]
-
-    return events.select(*columns).groupBy("repo").applyInPandasWithState(fold, FOLD, "log string", "append", GroupStateTimeout.NoTimeout)
+        kept = BatchFold(json.loads(state.get[0]) if state.exists else None)
+        new = pd.concat(list(batches))[columns].astype({"expected": object, "proposed": object, "observed": object})
+        out = kept.rows(new.sort_values("sequence", kind="stable"))
+        state.update((json.dumps(kept.state()),))
+        yield pd.DataFrame(out, columns=FOLD_COLUMNS)
+
+    return events.select(*columns).groupBy("repo").applyInPandasWithState(fold, FOLD, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def provisional_timeouts(events: DataFrame, hours: int = 24) -> DataFrame:

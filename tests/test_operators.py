@@ -290,3 +290,39 @@ def test_tree_ids_match_plain_encoding(spark):
 def test_written_survives(spark):
     df = written(spark.range(5), "five")
     assert df.count() == 5 and df.inputFiles()
+
+
+def test_walks_end_at_levels_and_hits(spark):
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, 12)] + [(20, 5), (20, 11), (5, 30)], "node long, to_node long")
+    pairs = spark.createDataFrame([(3, 9), (9, 3), (30, 20), (4, 20), (7, 7), (10, 5), (99, 20)], "a long, b long")
+    levels = graph.topo_levels(spark.createDataFrame([(i,) for i in [*range(12), 20, 30]], "node long"), edges)
+    want = {(3, 9): True, (9, 3): False, (30, 20): True, (4, 20): True, (7, 7): True, (10, 5): False, (99, 20): False}
+    for given in (None, levels):
+        assert {(r.a, r.b): r.is_ancestor for r in graph.is_ancestor(pairs, edges, given).collect()} == want
+    stopped = graph.topo_levels(levels.select("node"), edges, spark.createDataFrame([(8,)], "node long"))
+    assert {r.node: r.level for r in stopped.where("node IN (9, 10, 11)").collect()} == {9: 0, 10: 1, 11: 2} and stopped.where("node = 8").count() == 0
+    chain = graph.chain_levels(spark.createDataFrame([(i,) for i in range(40)], "node long"), spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "node long, parent long"))
+    assert {r.node: r.level for r in chain.collect()} == {i: i for i in range(40)}
+
+
+def test_policy_identity_bytes(spark):
+    import hashlib
+
+    files = [("a", "x/.p", "01" * 20), ("a", ".p", "ff" * 20), ("b", "é" * 200, "00" * 20)]
+    got = {r.scope: bytes(r.identity) for r in policy.policy_identity(spark.createDataFrame(files, "scope string, path string, oid string"), ["scope"], b"domain\x00").collect()}
+    for scope in ("a", "b"):
+        data = b"domain\x00"
+        for path, oid in sorted((p.encode(), o) for s, p, o in files if s == scope):
+            data += len(path).to_bytes(8, "little") + path + bytes.fromhex(oid)
+        assert got[scope] == hashlib.blake2b(data, digest_size=64).digest()
+
+
+def test_rules_by_scope_are_as_one_list(spark):
+    rules = [("", 0, "*.log", False, False), ("", 1, "!x", False, False), ("a/", 0, "keep.log", True, False), ("", 2, "tmp/", False, True), ("a/b/", 3, "/c?", False, False)]
+    paths = ["k.log", "a/keep.log", "a/b/cd", "a/b/x/cd", "tmp", "tmp/f", "a/tmp/keep.log", "", ".p", "a/.p"]
+    one = spark.createDataFrame([("s", p, 5) for p in paths] + [("t", p, 0) for p in paths], "scope string, path string, kind int")
+    table = spark.createDataFrame([("s", *r) for r in rules], "scope string, directory string, line int, pattern string, negated boolean, dir_only boolean")
+    got = {(r.scope, r.path): r.hidden for r in policy.decide_by(one, table, ["scope"], ".p").collect()}
+    want = {r.path: r.hidden for r in policy.decide(one.where("scope = 's'"), rules, ".p").collect()}
+    assert got == {("s", p): h for p, h in want.items()} | {("t", p): p.endswith(".p") for p in paths}
+    assert policy.embedded(policy.decide(one, rules)).columns == ["scope", "path", "kind"]
