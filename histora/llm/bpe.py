@@ -206,7 +206,8 @@ def encoded(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     """(doc_id, n_tokens, ids, decoded) for each row: ids and decoded text of the whole text.
 
     Null and empty texts have no tokens and decode to the empty string. Strings of special tokens in a text become
-    those tokens. Repeated rows keep a row each; an empty table gives an empty result.
+    those tokens. Of pairs of equal rank the leftmost is merged. Very long texts are encoded whole. Rows that repeat, or have no
+    id, keep a row each; other columns, whatever their names, are not looked at. An empty table gives an empty result.
     """
     return _run(docs, path, key, text, False)
 

@@ -149,7 +149,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     total = vectors.count()
     # groups enough for all cores, but no more than need be: each gets all queries
     cores = vectors.sparkSession.sparkContext.defaultParallelism
-    groups = max(math.ceil(total / GROUP), min(2 * cores, math.ceil(total / CANDIDATES)), 1)
+    groups = max(math.ceil(total / GROUP), min(4 * cores, math.ceil(total / CANDIDATES)), 1)
     c = packed(vectors, CANDIDATES).select(F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("group"), F.col("value").alias("candidates"))
     q = packed(queries, QUERIES).select("block", F.col("value").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
     # a merge join takes a block of queries through all candidates of its group before it goes on to the next
