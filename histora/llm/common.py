@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,16 +70,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def slabs(batches, columns: list[str], text: str, limit: int = 1 << 20):
     """Arrow batches as small runs of rows: lists of columns, the text as bytes, about limit bytes of text each.
 
-    A row is never split, so a very long text makes a slab of its own.
+    A row is never split, so a very long text makes a slab of its own. Only a slab's rows are Python objects at a time.
     """
     for batch in batches:
-        data = [batch.column(c).to_pylist() for c in columns if c != text]
-        texts = batch.column(text).cast("binary").to_pylist()
+        texts = batch.column(text).cast("binary")
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or b"")
-            if size >= limit or i == len(texts) - 1:
-                yield [x[start : i + 1] for x in data], [t or b"" for t in texts[start : i + 1]]
+        for i, n in enumerate(sizes):
+            size += n
+            if size >= limit or i == len(sizes) - 1:
+                some = batch.slice(start, i + 1 - start)
+                yield [some.column(c).to_pylist() for c in columns if c != text], [t or b"" for t in texts[start : i + 1].to_pylist()]
                 start, size = i + 1, 0
 
 
