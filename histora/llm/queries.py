@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chaining, exact_dedup, html, lm, mixing, resampling, runs, simhash, suffix, topk, toxicity
+from . import bpe, chaining, exact_dedup, html, lm, mixing, resampling, runs, secret_spans, simhash, suffix, topk, toxicity
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_secrets": secret_spans.op11_secrets,
     "op12_resampling": resampling.op12_resampling,
     "op13_runs": runs.op13_runs,
 }
