@@ -30,6 +30,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with the columns numbered by place (_0, _1 and so on), since it can't be given names with dots."""
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def same(left: DataFrame, right: DataFrame, keys: list[str]):
     """Equality of keys in which null equals null; right's keys are renamed with a leading underscore pair."""
     return [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
