@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, MutableMapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from ..operators import requests
 from ..operators.journal import FOLD, FOLD_COLUMNS, BatchFold
 
+_STATES = pa.list_(pa.struct([(c, pa.string()) for c in ("canonical", "public", "lineage")]))
+_REFS = pa.list_(pa.struct([*((c, pa.string()) for c in ("bookmark", "expected", "observed", "identity")), ("proposed", pa.int32()), ("states", _STATES)]))
+_KINDS = {"sequence": pa.int64(), "at": pa.int64(), "fence": pa.int64(), "known": pa.bool_(), "durable": pa.bool_(), "refs": _REFS}
+EVENTS = pa.schema([(c, _KINDS.get(c, pa.string())) for c in requests.EVENT_COLUMNS])
+
 
 def tail(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
     """A folder of Parquet files as a stream; the checkpoint remembers what was read."""
@@ -69,6 +77,59 @@ def batches_stream(events: DataFrame) -> DataFrame:
     return events.select(*columns).groupBy("repo").applyInPandasWithState(fold, FOLD, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+class StateMap(MutableMapping):
+    """A map state as a mapping of texts to JSON values; only the keys asked for are read."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def __getitem__(self, k):
+        if not self.state.containsKey((k,)):
+            raise KeyError(k)
+        return json.loads(self.state.getValue((k,))[0])
+
+    def __setitem__(self, k, value):
+        self.state.updateValue((k,), (json.dumps(value),))
+
+    def __delitem__(self, k):
+        self.state.removeKey((k,))
+
+    def __iter__(self):
+        return (k for (k,) in self.state.keys())
+
+    def __len__(self):
+        return sum(1 for _ in self)
+
+
+class JournalProcessor(StatefulProcessor):
+    """A repository's journal in map states; answers are forgotten by the store, too, once they are no longer kept."""
+
+    def __init__(self, limits: requests.Limits, forget: bool):
+        self.limits, self.forget = limits, forget
+
+    def init(self, handle) -> None:
+        keep = {name: self.limits.keep for name in ("results", "fetches") if self.forget}
+        self.maps = {name: StateMap(handle.getMapState(name, "k string", "v string", keep.get(name))) for name in requests.MAPS}
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = sorted((e for part in rows for e in pa.RecordBatch.from_pandas(part, schema=EVENTS, preserve_index=False).to_pylist()), key=lambda e: e["sequence"])
+        found = requests.outcomes(requests.Journal(self.maps, self.limits), events)
+        yield pd.DataFrame(found, columns=[c.split(" ")[0] for c in requests.OUTCOME.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def journal_stream(events: DataFrame, limits: requests.Limits = requests.Limits(), forget: bool = False) -> DataFrame:
+    """The outcome of each event, as requests.replay_journal() gives it, over map states of each repository. Needs the RocksDB state store.
+
+    forget: old answers leave the state, too, by a time to live. That takes triggers in processing time, so a stream that
+    is to end with its input (availableNow) goes without.
+    """
+    rows = events.select(*requests.EVENT_COLUMNS)
+    return rows.groupBy("repo").transformWithStateInPandas(JournalProcessor(limits, forget), requests.OUTCOME, "Append", "ProcessingTime" if forget else "None")
+
+
 def provisional_timeouts(events: DataFrame, hours: int = 24) -> DataFrame:
     """(repository_id, expired_at) of repositories (repository_id, status, at) still provisional that long after their
     event, once the watermark has passed that."""
