@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import depth
 from .stages import written
 
 
@@ -84,7 +85,7 @@ def is_ancestor(pairs: DataFrame, edges: DataFrame, levels: DataFrame | None = N
 
 def outside_ancestry(observed: DataFrame, edges: DataFrame) -> DataFrame:
     """(head, observed): observed heads that the new head doesn't descend from."""
-    tested = is_ancestor(observed.select(F.col("observed").alias("a"), F.col("head").alias("b")).distinct(), edges)
+    tested = depth.is_ancestor(observed.select(F.col("observed").alias("a"), F.col("head").alias("b")).distinct(), edges)
     return tested.where("NOT is_ancestor").select(F.col("b").alias("head"), F.col("a").alias("observed"))
 
 
@@ -146,7 +147,7 @@ def to_fetch(heads: DataFrame, edges: DataFrame, node: list[str], local: DataFra
 def rewritten_refs(heads: DataFrame, cursors: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     """Refs whose fetched head doesn't descend from the cursor."""
     both = heads.select(*key, F.col("oid").alias("b")).join(cursors.select(*key, F.col("oid").alias("a")), key)
-    return both.join(is_ancestor(both.select("a", "b").distinct(), edges), ["a", "b"]).where("NOT is_ancestor").select(*key, F.col("b").alias("head"), F.col("a").alias("cursor"))
+    return both.join(depth.is_ancestor(both.select("a", "b").distinct(), edges), ["a", "b"]).where("NOT is_ancestor").select(*key, F.col("b").alias("head"), F.col("a").alias("cursor"))
 
 
 def mark_and_sweep(roots: DataFrame, edges: DataFrame, stored: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import content_id, with_headers
+from ..functions.identity import without_headers
+from . import depth
 from .graph import topo_levels
 from .stages import written
 
@@ -21,45 +24,76 @@ def commit_bytes(headers: Column, message: Column) -> Column:
     return F.concat(F.array_join(lines, ""), F.lit("\n"), message).cast("binary")
 
 
+PROJECTED = "canonical_id string, public_id string, rewritten boolean, error string"
+ROWS = ["component", "commit_id", "tree", "new_tree", "parents", "known", "uses", "rest", "conflicted"]
+
+
+def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of commits, parents first in each component. A commit's outcome is held until its last child has been."""
+    now, held = None, {}
+    for batch in batches:
+        out: list[tuple] = []
+        for component, commit, tree, new_tree, parents, known, uses, rest, conflicted in zip(*(batch.column(c).to_pylist() for c in ROWS)):
+            if component != now:
+                now, held = component, {}
+            given, public, failed, missing = dict(known or []), [], False, False
+            for parent in parents:
+                entry = held.get(parent)
+                if entry:
+                    entry[2] -= 1
+                    if not entry[2]:
+                        del held[parent]
+                there, bad = (given[parent], None) if parent in given else entry[:2] if entry else (None, None)
+                public.append(there)
+                failed, missing = failed or bad is not None, missing or (bad is None and there is None)
+            error = "conflicted" if conflicted else "parent_missing" if missing else "parent_failed" if failed else None
+            own, rewritten = None, None
+            if error is None:
+                rewritten = new_tree != tree or public != parents
+                data = b"".join(f"{name} {value}\n".encode() for name, value in [("tree", new_tree), *(("parent", p) for p in public)]) + rest
+                own = hashlib.sha1(b"commit %d\0" % len(data) + data).hexdigest() if rewritten else commit
+            if uses:
+                held[commit] = [own, error, uses]
+            out.append((commit, own, rewritten, error))
+        columns = zip(*out) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), pa.bool_(), pa.string()])], ["canonical_id", "public_id", "rewritten", "error"])
+
+
 def project_commits(commits: DataFrame, public_trees: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """(canonical_id, public_id, rewritten, error) for each commit that isn't a seed.
 
-    commits: (commit_id, tree, parents, headers, message, conflicted); public_trees: (tree, public_tree), trees without a
-    row stay; seeds: (canonical_id, public_id) of commits projected before. A commit is the same on either side if its tree
-    and its parents are; else it gets new headers, bytes and id. Levels go parents first, each from the files of the ones
-    before. error: conflicted, parent_missing, or parent_failed below such a commit; those have no public id. Members of cycles
-    have the error cycle.
+    commits: (commit_id, tree, parents, headers, message, conflicted), of rows that repeat an id one counts; public_trees:
+    (tree, public_tree), trees without a row stay; seeds: (canonical_id, public_id) of commits projected before. A commit is the
+    same on either side if its tree and its parents are; else it gets new headers, bytes and id. error: conflicted,
+    parent_missing, or parent_failed below such a commit; those have no public id. Members of cycles, and what depends on
+    them, have the error cycle.
+
+    An id depends on the parents' new ids, so a history is one chain of digests. Histories that have no commit in common are
+    dealt over tasks and stream by once, parents first; a task holds only what has children still to come. Rounds don't grow with
+    depth, but for the doubling that finds the order.
     """
     spark = commits.sparkSession
     known = spark.createDataFrame([], "canonical_id string, public_id string") if seeds is None else seeds.select("canonical_id", "public_id")
-    own = commits.join(known.select(F.col("canonical_id").alias("commit_id")), "commit_id", "left_anti")
-    own = own.join(public_trees.withColumnRenamed("public_tree", "_new"), "tree", "left").withColumn("_new", F.coalesce("_new", "tree"))
-    edges = own.select(F.col("commit_id").alias("node"), F.explode("parents").alias("to_node"))
-    levels = written(topo_levels(own.select(F.col("commit_id").alias("node")), edges), "levels")
-    rows = written(own.join(levels.withColumnRenamed("node", "commit_id"), "commit_id"), "commits")
-    top = rows.agg(F.max("level")).first()[0]
-    done = [written(known.select("canonical_id", "public_id", F.lit(None).cast("string").alias("error")), "projected")]
-    out = []
-    for level in range(-1 if top is None else top + 1):
-        here = rows.where(F.col("level") == level)
-        ahead = here.select("commit_id", F.posexplode("parents").alias("_at", "_parent"))
-        ahead = ahead.join(reduce(DataFrame.unionByName, done).withColumnRenamed("canonical_id", "_parent"), "_parent", "left")
-        ahead = ahead.groupBy("commit_id").agg(
-            F.array_sort(F.collect_list(F.struct("_at", "public_id"))).alias("_public"),
-            F.bool_or(F.col("error").isNotNull()).alias("_failed"), F.bool_or(F.col("error").isNull() & F.col("public_id").isNull()).alias("_missing"),
-        )
-        public = F.coalesce(F.transform("_public", lambda p: p["public_id"]), F.array().cast("array<string>"))
-        error = F.when(F.col("conflicted"), "conflicted").when(F.col("_missing"), "parent_missing").when(F.col("_failed"), "parent_failed")
-        found = here.join(ahead, "commit_id", "left").withColumn("_parents", public).withColumn("error", error)
-        found = found.withColumn("rewritten", (F.col("_new") != F.col("tree")) | (F.col("_parents") != F.col("parents")))
-        new = content_id(F.lit(2), commit_bytes(with_headers(F.col("headers"), F.col("_new"), F.col("_parents"), SIGNATURES), F.col("message")))
-        public_id = F.when(F.col("error").isNull(), F.when(F.col("rewritten"), new).otherwise(F.col("commit_id")))
-        found = written(found.select(F.col("commit_id").alias("canonical_id"), public_id.alias("public_id"), F.when(F.col("error").isNull(), F.col("rewritten")).alias("rewritten"), "error"), "projected")
-        out.append(found)
-        done.append(found.select("canonical_id", "public_id", "error"))
-    none = F.lit(None)
-    out.append(rows.where("level IS NULL").select(F.col("commit_id").alias("canonical_id"), none.cast("string").alias("public_id"), none.cast("boolean").alias("rewritten"), F.lit("cycle").alias("error")))
-    return reduce(DataFrame.unionByName, out)
+    own = commits.join(known.select(F.col("canonical_id").alias("commit_id")), "commit_id", "left_anti").dropDuplicates(["commit_id"])
+    own = own.join(public_trees.withColumnRenamed("public_tree", "_new"), "tree", "left")
+    rest = commit_bytes(without_headers(F.col("headers"), ["tree", "parent", *SIGNATURES]), F.col("message"))
+    own = written(own.select("commit_id", "tree", F.coalesce("_new", "tree").alias("new_tree"), "parents", rest.alias("rest"), "conflicted"), "commits")
+    edges = own.select(F.col("commit_id").alias("node"), F.posexplode("parents").alias("position", "to_node"))
+    nodes = own.select(F.col("commit_id").alias("node"))
+    inside = written(edges.join(nodes.withColumnRenamed("node", "to_node"), "to_node", "left_semi").select("node", "position", "to_node"), "edges")
+    index = depth.index_of(inside, nodes)
+    try:
+        order = depth.levels(nodes, inside, index=index)
+    except depth.Cycle:
+        order = topo_levels(nodes, inside)
+    order = order.join(depth.components(inside, index), "node", "left").withColumnRenamed("node", "commit_id")
+    uses = inside.groupBy(F.col("to_node").alias("commit_id")).agg(F.count("*").alias("uses"))
+    found = edges.join(known.withColumnRenamed("canonical_id", "to_node"), "to_node").groupBy(F.col("node").alias("commit_id")).agg(F.map_from_entries(F.collect_set(F.struct("to_node", "public_id"))).alias("known"))
+    rows = own.join(order, "commit_id").join(uses, "commit_id", "left").join(found, "commit_id", "left")
+    rows = written(rows.withColumn("uses", F.coalesce("uses", F.lit(0))), "rows")
+    in_order = rows.where("level IS NOT NULL").repartition("component").sortWithinPartitions("component", "level").select(*ROWS)
+    cyclic = rows.where("level IS NULL").select(F.col("commit_id").alias("canonical_id"), F.lit(None).cast("string").alias("public_id"), F.lit(None).cast("boolean").alias("rewritten"), F.lit("cycle").alias("error"))
+    return in_order.mapInArrow(_project, PROJECTED).unionByName(cyclic)
 
 
 def projection_result(projected: DataFrame, heads: DataFrame, seeds: DataFrame, reached: DataFrame) -> dict[str, DataFrame]:

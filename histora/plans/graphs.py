@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, policy, relations
+from ..operators import depth, graph, policy, relations
 from .registry import query
 from .tables import (
     CUSTOMER, EDGES_SQL, IGNORED, NODES_SQL, ORDER, PART, PATHS_SQL, RULES, TURNS_SQL, edges, nodes, paths, table, turns,
@@ -171,6 +171,46 @@ def observed_outside(spark, sf):
     return graph.outside_ancestry(other.unionByName(own), t.where("parent IS NOT NULL").select("node", F.col("parent").alias("to_node")))
 
 
+MERGED = """
+WITH RECURSIVE t AS (SELECT DISTINCT conv_id AS c, turn AS k, concat(conv_id, ':', turn) AS node FROM conversations),
+e AS (SELECT a.node, b.node AS to_node FROM t a JOIN t b ON a.c = b.c AND a.k = b.k + 1 UNION ALL SELECT a.node, b.node FROM t a JOIN t b ON a.c = b.c + 1 AND a.k = b.k WHERE a.k % 3 = 0 AND a.c % 4 <> 0),
+"""
+
+
+def merged_turns(spark, sf):
+    """(c, k, node) of turns, and edges (node, position, to_node): to the turn before, and from every third turn to the same one of the conversation before."""
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("c"), F.col("turn").alias("k")).distinct()
+    name = lambda c, k: F.concat_ws(":", c, k)
+    there = t.select("c", "k")
+    before = t.join(there.select("c", (F.col("k") + 1).alias("k")), ["c", "k"], "left_semi").select(name("c", "k").alias("node"), F.lit(0).alias("position"), name("c", F.col("k") - 1).alias("to_node"))
+    beside = t.where("k % 3 = 0 AND c % 4 <> 0").join(there.select((F.col("c") + 1).alias("c"), "k"), ["c", "k"], "left_semi")
+    beside = beside.select(name("c", "k").alias("node"), F.lit(1).alias("position"), name(F.col("c") - 1, "k").alias("to_node"))
+    return t.withColumn("node", name("c", "k")), before.unionByName(beside)
+
+
+@query(
+    "merge_levels",
+    MERGED + """s AS (SELECT node FROM t WHERE NOT (k % 5 = 4 AND c % 3 = 0)), i AS (SELECT e.* FROM e JOIN s USING (node) JOIN s u ON u.node = e.to_node),
+    r AS (SELECT node, 0 AS level FROM s UNION SELECT i.node, r.level + 1 FROM r JOIN i ON i.to_node = r.node) SELECT node, CAST(max(level) AS BIGINT) AS level FROM r GROUP BY node""",
+)
+def merge_levels(spark, sf):
+    """Levels of turns whose conversations merge, some turns being stops."""
+    t, e = merged_turns(spark, sf)
+    return depth.levels(t, e, t.where("k % 5 = 4 AND c % 3 = 0"))
+
+
+@query(
+    "merge_ancestry",
+    MERGED + """p AS (SELECT node AS b, node FROM t UNION SELECT p.b, e.to_node FROM p JOIN e ON e.node = p.node)
+    SELECT x.node AS a, y.node AS b, EXISTS (SELECT 1 FROM p WHERE p.b = y.node AND p.node = x.node) AS is_ancestor FROM t x JOIN t y ON y.c = x.c + 1 AND y.k = x.k + 1""",
+)
+def merge_ancestry(spark, sf):
+    """Whether each turn descends from the one before it in the conversation before."""
+    t, e = merged_turns(spark, sf)
+    pairs = t.select(F.col("node").alias("a"), (F.col("c") + 1).alias("c"), (F.col("k") + 1).alias("k")).join(t.select(F.col("node").alias("b"), "c", "k"), ["c", "k"])
+    return depth.is_ancestor(pairs, e)
+
+
 @query("frontier", f"WITH t AS ({TURNS_SQL}) SELECT node FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.parent = t.node)")
 def frontier(spark, sf):
     t = turns(spark, sf)
