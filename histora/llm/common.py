@@ -7,8 +7,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from ..operators.stages import shared_dir, written  # noqa: F401
+from ..operators.stages import map_in_arrow, shared_dir, written  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -25,6 +26,22 @@ def ascii_lower(text: Column | str) -> Column:
     return F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), UPPER, LOWER)
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def _has_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, MapType) or (isinstance(kind, ArrayType) and _has_map(kind.elementType))
+
+
+def comparable(df: DataFrame) -> list[Column]:
+    """The columns of df in forms that can be hashed and put in order: those that hold maps as JSON."""
+    return [F.to_json(c).alias(f.name) if _has_map(f.dataType) else c for c, f in zip(quoted(df), df.schema.fields)]
+
+
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, hot_join, shared_dir, table, written
+from .common import ascii_lower, comparable, hot_join, quoted, shared_dir, table, written
 
 #: Digests of a bucket, and least and most buckets of an index.
 BUCKET, LEAST, MOST = 500_000, 16, 100_000
@@ -85,7 +85,9 @@ def decided(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns: one of each group of equal texts.
 
-    Of rows that repeat the id that stays, or all lack an id, the one stays whose columns are the least in order.
+    Of rows that repeat the id that stays, or all lack an id, the one stays whose columns are the least in order, maps counting
+    as JSON. Null and empty texts are equal; very long texts are digested whole. Columns of docs may have any names and types. An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     found = decided(docs, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", key, text)
@@ -96,11 +98,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     if not several.limit(1).count():
         return out
     # the least is found in each task before rows are shuffled
-    row = F.struct(F.sha2(ascii_lower(text).cast("binary"), 256).alias("_sha"), F.struct(*docs.columns).alias("_row"))
-    packed = out.select(row.alias("_p")).select("_p._sha", "_p._row")
+    row = F.struct(F.sha2(ascii_lower(text).cast("binary"), 256).alias("_sha"), F.struct(*quoted(docs)).alias("_row"), F.struct(*comparable(docs)).alias("_order"))
+    packed = out.select(row.alias("_p")).select("_p._sha", "_p._row", "_p._order")
     repeats = packed.join(F.broadcast(several), "_sha", "left_semi") if several.count() < 100_000 else packed.join(several, "_sha", "left_semi")
     single = packed.join(several, "_sha", "left_anti").select("_row.*")
-    return single.unionByName(repeats.groupBy("_sha").agg(F.min("_row").alias("_row")).select("_row.*"))
+    return single.unionByName(repeats.groupBy("_sha").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

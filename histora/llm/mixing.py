@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, hot_join, null_safe, running_sum, table, word_count, written
+from .common import WORD, comparable, hot_join, null_safe, quoted, running_sum, table, word_count, written
 
 BLOCK = 32
 SHARD = 4_096
@@ -198,11 +198,11 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, seed:
     Words of neighbouring blocks keep the white space between them, others are set apart by a line feed; n_chars,
     if there, is counted anew. A document that no block was drawn from has no row. Rows that repeat an id are told
     apart by their place; their order comes from the rows' contents, so reruns agree. Null texts and sources are as in
-    mix(). Columns of docs may have any names. An empty table gives an empty result.
+    mix(). Columns of docs may have any names and types. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    row = F.struct(*docs.columns)
-    keyed = written(docs.select(F.xxhash64(row).alias("_key"), F.monotonically_increasing_id().alias("_n"), row.alias("_row")), "mix-rows")
+    row = F.struct(*quoted(docs))
+    keyed = written(docs.select(F.xxhash64(F.struct(*comparable(docs))).alias("_key"), F.monotonically_increasing_id().alias("_n"), row.alias("_row")), "mix-rows")
     sized = keyed.select("_n", "_key", F.col("_row.source").alias("source"), word_count("_row.text").alias("size"))
     plan = Plan(sized, block, weights)
     # equal rows are one unit, whose words the rows hold one after the other
@@ -232,7 +232,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, seed:
 
     joined = keyed.select("_n", "_row").join(parts, "_n").select("_row", "_runs")
     out = joined.mapInArrow(cut, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)).select(*names) if "n_chars" in names else out
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)).select(*quoted(out)) if "n_chars" in names else out
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

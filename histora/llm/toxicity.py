@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slabs, table, written
+from .common import map_in_arrow, slabs, table, written
 
 #: At most about so many labelled rows fit the model, and it has at most so many features.
 SAMPLE, FEATURES = 20_000, 4_096
@@ -199,21 +199,27 @@ def _scorer(spark: SparkSession, model: Model):
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't rejected, with their columns. The model is fitted on the labelled rows among docs."""
+    """The rows of docs that aren't rejected, with their columns. The model is fitted on the labelled rows among docs.
+
+    Null and empty texts have no features and stay. Very long texts are looked at whole. Rows that repeat, or have no id, are
+    judged each by its text. Columns of docs may have any names and types. An empty table gives an empty result.
+    """
     model = fit(docs, labels)
     if model is None:
         return docs
     score = _scorer(docs.sparkSession, model)
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 500):  # so that few texts are Python objects at a time
                 some = batch.slice(start, 500)
-                texts = [t or b"" for t in some.column("text").cast("binary").to_pylist()]
-                yield some.filter(pa.array(score(texts, known)[0] < REJECT, pa.bool_()))
+                texts = [t or b"" for t in some.column(at).cast("binary").to_pylist()]
+                kept = some.filter(pa.array(score(texts, known)[0] < REJECT, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(kept.columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_in_arrow(docs, run, docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from histora.llm import mixing, toxicity
+from histora.llm import exact_dedup, mixing, simhash, toxicity
 
 
 def corpus(spark, path):
@@ -185,3 +185,19 @@ def test_topk_groups(spark, monkeypatch):
     v = topk.integers(spark.createDataFrame([(i, [x / 256 for x in w]) for i, w in rows], "vec_id long, embedding array<double>"))
     assert sorted((tuple(r) for r in topk.top_k(v, v.where("vec_id % 50 = 0")).collect()), key=str) == brute_topk(rows, 5)
 
+
+
+def test_stages_keep_any_columns(spark):
+    """Names with dots and blanks, maps, repeated rows and ids, nulls: each stage gives whole rows back."""
+    texts = [None, "", "one two three four", "One two three four", "vile gross nasty words", "calm words here", "calm words here"]
+    rows = [(i % 5, t, "s", {"k": i // 2}, [{"x": 1}], 3) for i, t in enumerate(texts)] * 2 + [(None, "calm words here", None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>, n array<map<string,int>>, k int").withColumnsRenamed({"m": "a.b", "n": "a b`c", "k": "_row"})
+    labels = spark.createDataFrame([(i, int(i != 4), int(i == 4)) for i in range(5)], "doc_id long, quality int, toxic int")
+    for stage in (lambda d: toxicity.accepted(d, labels), exact_dedup.keep_one, simhash.keep_one, lambda d: mixing.mixed_documents(d, block=2)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[3] is None or isinstance(r[3], dict) for r in got)
+        assert stage(docs.limit(0)).count() == 0
+    kept = exact_dedup.keep_one(docs).collect()
+    assert len(kept) == len({(r.text or "").lower() for r in kept}) == len({(t or "").lower() for t in texts})
