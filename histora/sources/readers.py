@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.codecs import manifests, pack_tables
@@ -50,24 +50,79 @@ REQUESTS = {
 LISTS = {"push": "updates", "fetch": "refs", "recover": "observations"}
 
 
+#: Fields that may be null; all must be there.
+NULLABLE = {"expectedOldOid", "expectedCursorOid", "proposedState", "identityOid", "hiddenSetId", "liveOid"}
+KINDS = {"string": "STRING", "int": "BIGINT", "long": "BIGINT"}
+
+
+def _kind(value: Column) -> Column:
+    """The JSON type of a variant, VOID for null; null if there is no value."""
+    return F.schema_of_variant(value)
+
+
+def _field_code(keys: Column, value, fields: dict[str, str], label: str) -> Column:
+    """The first of fields (name -> type) that is missing, null though it mustn't be, or of another type, as code; null if none is."""
+    code = F.lit(None).cast("string")
+    for name, kind in reversed(fields.items()):
+        found = _kind(value(name))
+        wrong = F.lit(False) if kind not in KINDS else ~F.coalesce(found, F.lit("VOID")).isin(KINDS[kind], "VOID")
+        gone = ~F.coalesce(F.array_contains(keys, name), F.lit(False))
+        if name not in NULLABLE:
+            gone = gone | F.coalesce(found, F.lit("VOID")).eqNullSafe(F.lit("VOID"))
+        code = F.when(gone, f"{label}{name}_missing").when(wrong, f"{label}{name}_type").otherwise(code)
+    return code
+
+
+def _items_code(items: Column, fields: dict[str, str], label: str) -> Column:
+    """The code of the first item (map of variants) that has other fields than these, or such of other types."""
+    known = F.array(*map(F.lit, fields))
+    one = lambda m: F.when(m.isNull(), f"{label}invalid").when(F.size(F.array_except(F.map_keys(m), known)) > 0, f"{label}unknown_field").otherwise(_field_code(F.map_keys(m), lambda n: m[n], fields, label))
+    return F.get(F.filter(F.transform(items, one), lambda c: c.isNotNull()), F.lit(0))
+
+
 def read_requests(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame, DataFrame]:
-    """(requests, (raw, code)) of lines of JSON. Lists are sorted by name; a request is rejected if it isn't JSON of that
-    schema, lacks a field that all requests have, repeats a name, points outside its states, or maps an id to itself."""
+    """(requests, (raw, code)) of lines of JSON. Lists are sorted by name.
+
+    A request is rejected if it isn't a JSON object, has a field that its schema doesn't know or lacks one, has null where NULLABLE
+    doesn't allow it, or a value of another type, in any depth; if it repeats a name or a mapping, points outside its
+    states, maps an id to itself, has states without proposing one (push), has an id that is the same on both sides along with states, or
+    proposes another id than the observed one (fetch).
+    """
     raw = spark.read.text(path).select(F.col("value").alias("raw")).where("trim(raw) <> ''")
     schema = REQUESTS[kind]
-    names = [f.split(" ")[0] for f in _top_fields(schema)]
-    parsed = raw.select("raw", F.from_json("raw", schema, {"mode": "PERMISSIVE"}).alias("r"), F.json_object_keys("raw").alias("_keys"))
-    code = F.when(F.col("_keys").isNull(), "not_json").when(F.size(F.array_except("_keys", F.array(*map(F.lit, names)))) > 0, "unknown_field").when(F.col("r.incarnation").isNull(), "incarnation_missing")
+    top = _fields(schema)
+    parsed = raw.select("raw", F.from_json("raw", schema, {"mode": "PERMISSIVE"}).alias("r"), F.json_object_keys("raw").alias("_keys"), F.try_parse_json("raw").alias("_v"))
+    value = lambda name: F.try_variant_get("_v", f"$.{name}", "variant")
+    code = F.when(F.col("_keys").isNull() | F.col("_v").isNull(), "not_json").when(F.size(F.array_except("_keys", F.array(*map(F.lit, top)))) > 0, "unknown_field")
+    own = _field_code(F.col("_keys"), value, {n: t for n, t in top.items() if n != LISTS.get(kind)}, "")
+    code = code.when(own.isNotNull(), own)
     if kind in LISTS:
-        items = F.col(f"r.{LISTS[kind]}")
-        code = code.when(items.isNull(), "list_missing").when(F.size(F.array_distinct(F.transform(items, lambda u: u["bookmark"]))) < F.size(items), "repeated_name")
+        items, inner = F.col(f"r.{LISTS[kind]}"), _fields(top[LISTS[kind]][len("array<struct<") : -2])
+        each = F.try_variant_get("_v", f"$.{LISTS[kind]}", "array<map<string,variant>>")
+        wrong = _items_code(each, inner, "item_")
+        code = code.when(items.isNull() | each.isNull(), "list_missing").when(wrong.isNotNull(), wrong)
+        if "states" in inner:
+            states = F.transform(each, lambda m: F.try_variant_get(m["states"], "$", "array<map<string,variant>>"))
+            inside = F.get(F.filter(F.transform(states, lambda s: _items_code(s, _fields(STATE[len("struct<") : -1]), "state_")), lambda c: c.isNotNull()), F.lit(0))
+            code = code.when(F.exists(states, lambda s: s.isNull()), "item_states_type").when(inside.isNotNull(), inside)
+        code = code.when(F.size(F.array_distinct(F.transform(items, lambda u: u["bookmark"]))) < F.size(items), "repeated_name")
     if kind in ("push", "fetch"):
-        outside = F.exists(items, lambda u: u["proposedState"].isNotNull() & ((u["proposedState"] < 0) | (u["proposedState"] >= F.size(u["states"]))))
-        same = F.exists(items, lambda u: F.exists(F.coalesce(u["states"], F.array().cast(f"array<{STATE}>")), lambda s: s["canonicalOid"] == s["publicOid"]))
-        code = code.when(outside, "state_outside").when(same, "identity_mapping")
+        some = lambda rule: F.coalesce(F.exists(items, rule), F.lit(False))
+        code = code.when(some(lambda u: u["proposedState"].isNotNull() & ((u["proposedState"] < 0) | (u["proposedState"] >= F.size(u["states"])))), "state_outside")
+        code = code.when(some(lambda u: F.exists(u["states"], lambda s: s["canonicalOid"] == s["publicOid"])), "identity_mapping")
+        code = code.when(some(lambda u: u["identityOid"].isNotNull() & (u["proposedState"].isNotNull() | (F.size(u["states"]) > 0))), "identity_with_states")
+        if kind == "push":
+            code = code.when(some(lambda u: u["identityOid"].isNull() & u["proposedState"].isNull() & (F.size(u["states"]) > 0)), "states_without_proposal")
+            pairs = lambda u: F.transform(u["states"], lambda s: F.struct(s["canonicalOid"], s["publicOid"]))
+            code = code.when(some(lambda u: F.size(F.array_distinct(pairs(u))) < F.size(u["states"])), "repeated_mapping")
+        else:
+            given = lambda u: F.coalesce(u["identityOid"], F.get(u["states"], u["proposedState"])["publicOid"])
+            code = code.when(some(lambda u: given(u).isNotNull() & (given(u) != u["observedPublicOid"])), "proposal_not_observed")
     if kind == "heads":
         heads = F.col("r.observedHeads")
-        code = code.when(~F.col("r.newHead").rlike("^[0-9a-f]{128}$") | F.col("r.newHead").rlike("^0+$"), "new_head_invalid").when(F.size(F.array_distinct(heads)) < F.size(heads), "repeated_head")
+        head = F.coalesce(F.col("r.newHead"), F.lit(""))
+        code = code.when(heads.isNull() | F.exists(heads, lambda h: h.isNull()), "observedHeads_missing").when(~head.rlike("^[0-9a-f]{128}$") | head.rlike("^0+$"), "new_head_invalid")
+        code = code.when(F.size(F.array_distinct(heads)) < F.size(heads), "repeated_head")
     checked = parsed.withColumn("code", code)
     good = checked.where("code IS NULL").select("raw", "r.*")
     if kind in LISTS:
@@ -77,6 +132,11 @@ def read_requests(spark: SparkSession, path: str, kind: str) -> tuple[DataFrame,
     return good, checked.where("code IS NOT NULL").select("raw", "code")
 
 
+def _fields(schema: str) -> dict[str, str]:
+    """The names of a schema's fields on the top level, and their types."""
+    return {name: kind for name, _, kind in (f.partition(" ") for f in _top_fields(schema))}
+
+
 def _top_fields(schema: str) -> list[str]:
     out, depth, last = [], 0, 0
     for i, c in enumerate(schema):
