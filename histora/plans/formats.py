@@ -121,6 +121,35 @@ def request_fingerprints(spark, sf):
     return readers.request_hash(good, 256).select(F.col("fence").alias("event_id"), "fingerprint")
 
 
+GOOD_PUSH = (
+    '{"incarnation":"i","batchId":"ID","machineId":"m","remote":"o","updates":[{"bookmark":"b","expectedOldOid":null,'
+    '"states":[{"canonicalOid":"c","publicOid":"p","hiddenSetId":null}],"proposedState":0,"identityOid":null}]}'
+)
+#: What is replaced in a good push, and the code that this gives.
+FAULTS = [
+    ("", "", "ok"), ('"machineId":"m",', "", "machineId_missing"), ('"remote":"o"', '"remote":5', "remote_type"), ('"proposedState":0', '"proposedState":4', "state_outside"),
+    ('"publicOid":"p"', '"publicOid":"c"', "identity_mapping"), ('"identityOid":null', '"identityOid":"p"', "identity_with_states"),
+    ('"proposedState":0', '"proposedState":null', "states_without_proposal"), (',"hiddenSetId":null', "", "state_hiddenSetId_missing"), ('"expectedOldOid":null,', "", "item_expectedOldOid_missing"),
+    ('"updates":[', '"more":1,"updates":[', "unknown_field"), ('"bookmark":"b"', '"bookmark":["b"]', "item_bookmark_type"), ('"states":[', '"states":[7,', "state_invalid"),
+]
+
+
+@query("push_codes", f"SELECT event_id, CASE event_id % {len(FAULTS)} {' '.join(f"WHEN {k} THEN '{code}'" for k, (_, _, code) in enumerate(FAULTS))} END AS code FROM events")
+def push_codes(spark, sf):
+    """Pushes of which all but one in twelve have a fault, each of another sort."""
+    e = table(spark, sf, "events").select("event_id")
+    good = F.replace(F.lit(GOOD_PUSH), F.lit("ID"), F.col("event_id").cast("string"))
+    body = good
+    for k, (was, now, _) in enumerate(FAULTS):
+        if was:
+            body = F.when(F.col("event_id") % len(FAULTS) == k, F.replace(good, F.lit(was), F.lit(now))).otherwise(body)
+    path = place(spark, "pushes")
+    e.select(body.alias("value")).write.text(path)
+    ok, bad = readers.read_requests(spark, path, "push")
+    found = ok.select("raw", F.lit("ok").alias("code")).unionByName(bad)
+    return found.select(F.regexp_extract("raw", '"batchId":"([0-9]+)"', 1).cast("long").alias("event_id"), "code")
+
+
 def pins(spark, sf):
     s = table(spark, sf, "supplier")
     field = lambda name, value: F.concat(F.lit(f'{name} = "'), value, F.lit('"\n'))
