@@ -3,9 +3,11 @@
 The standard library's parser turns a page into events, and these into lines: the text of one block each, with the
 number of tags met since the last. The ratio of text to tags is smoothed over neighbouring lines with a Gaussian and
 weighed: lines in <article> and <main> count double, lines in elements whose name or class tells that they aren't the
-article (menus, adverts, comments and the like) count nothing. The page's regions (articles, sections, divisions
-and cells of two lines or more, and each such element) fall into two clusters: content are those whose mean ratio is above a threshold, a share of the
-standard deviation over all lines. All lines of a content region are taken, short ones too.
+article (menus, adverts, comments and the like) a small part, so that they pass only where their ratios are far above the
+page's best region. The header of an article is part of it; its footer and its warnings count half. The page's regions (articles,
+sections, divisions and cells of two lines or more, and each such element) fall into two clusters: content are those whose
+mean ratio is above a threshold, a share of the standard deviation over all lines. All lines of a content region are taken,
+short ones too. A page of nothing but such elements has no content.
 
 Only what holds no readable text of the page (scripts, styles, forms and their controls, embedded media, the head) is
 left out before ratios are looked at. An element that only its class, id or role tells to be no content weighs as any
@@ -28,8 +30,9 @@ from .common import slabs, table
 
 #: Standard deviation of the Gaussian in lines, and the threshold in standard deviations of the smoothed ratios.
 SIGMA, THRESHOLD = 1.0, 0.5
-#: What the ratio of a line counts in <article> or <main>, and in elements that aren't the article.
-WEIGHT, FOREIGN = 2.0, 0.0
+#: What the ratio of a line counts in <article> or <main>; what it counts of that in elements that aren't the article, and
+#: in those of an article that may be.
+WEIGHT, FOREIGN, DOUBTFUL = 2.0, 0.02, 0.5
 
 # Elements of HTML by what they mean for extraction.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +52,8 @@ MARKS = frozenset(
     "overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription teaser toolbar tracking warning widget".split()
 )
+#: Of these, what an article may have of its own.
+DOUBT = frozenset("alert copyright disclaimer footer header warning".split())
 #: First parts of class names that speak of a page with or without such elements.
 UNMARKED = frozenset("content has is layout main no not page post with without".split())
 _CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
@@ -60,14 +65,17 @@ def hidden(attributes: list[tuple[str, str | None]]) -> bool:
     return any(name == "hidden" or (name == "aria-hidden" and value == "true") for name, value in attributes)
 
 
-def marked(attributes: list[tuple[str, str | None]]) -> bool:
+def marks(attributes: list[tuple[str, str | None]]) -> set[str]:
+    """The words of MARKS in the class, id and role."""
+    found = set()
     for name, value in attributes:
         if value and name in ("class", "id", "role"):
             for word in value.lower().split():
                 parts = re.split(r"[-_:\d]+", word)
-                if word in MARKS or parts[0] not in UNMARKED and not MARKS.isdisjoint(parts):
-                    return True
-    return False
+                found |= MARKS & {word}
+                if parts[0] not in UNMARKED:
+                    found |= MARKS.intersection(parts)
+    return found
 
 
 class Lines(HTMLParser):
@@ -81,8 +89,8 @@ class Lines(HTMLParser):
         # the open regions, whether each is in an article; the region around each
         self.regions: list[tuple[int, bool]] = [(0, False)]
         self.outer, self.whole = [0], [True]
-        # elements that aren't the article by number: the one around each, their characters of text, whether their name says so; 0 is the page
-        self.mark, self.around, self.size, self.sure = 0, [0], [0], [False]
+        # elements that aren't the article by number: the one around each, their characters of text, whether their name says so, what they count; 0 is the page
+        self.mark, self.around, self.size, self.sure, self.share = 0, [0], [0], [False], [1.0]
         self.tags = 0
         self.parts: list[tuple[str, int]] = []
         self.lines: list[tuple[list[tuple[str, int]], int, int, bool]] = []
@@ -94,14 +102,15 @@ class Lines(HTMLParser):
         else:
             self.parts.clear()
 
-    def push(self, tag: str, never: bool, mark: bool) -> None:
+    def push(self, tag: str, never: bool, share: float = 1.0) -> None:
         self.open.append((tag, never, self.mark))
         self.count[tag] = self.count.get(tag, 0) + 1
         self.never += never
-        if mark:
+        if share < 1:
             self.around.append(self.mark)
             self.size.append(0)
             self.sure.append(tag in AROUND)
+            self.share.append(share)
             self.mark = len(self.size) - 1
         if tag in REGIONS:
             number, article = self.regions[-1]
@@ -111,6 +120,14 @@ class Lines(HTMLParser):
                 number, article = len(self.outer) - 1, article or tag in ("article", "main")
             self.regions.append((number, article))
 
+    def shares(self, tag: str, attributes: list[tuple[str, str | None]]) -> float:
+        """What lines in the element count by its name, class, id and role."""
+        found = marks(attributes) | AROUND & {tag}
+        within = self.regions[-1][1]
+        if not found or within and found == {"header"}:
+            return 1.0
+        return DOUBTFUL if within and found <= DOUBT else FOREIGN
+
     def pop(self) -> str:
         tag, never, self.mark = self.open.pop()
         self.count[tag] -= 1
@@ -147,8 +164,8 @@ class Lines(HTMLParser):
                 self.pop()
         if tag not in VOID:
             page = tag in ("html", "body")
-            mark = not page and not self.never and (tag in AROUND or marked(attributes))
-            self.push(tag, tag in NEVER or (not page and hidden(attributes)), mark)
+            never = tag in NEVER or (not page and hidden(attributes))
+            self.push(tag, never, 1.0 if page or never or self.never else self.shares(tag, attributes))
 
     def handle_startendtag(self, tag: str, attributes: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attributes)
@@ -175,9 +192,13 @@ class Lines(HTMLParser):
         self.end_line()
         for i in range(len(self.size) - 1, 0, -1):
             self.size[self.around[i]] += self.size[i]
-        foreign = [0]
+        # the outermost such element of those that count least
+        foreign, counts = [0], [1.0]
         for i in range(1, len(self.size)):
-            foreign.append(foreign[self.around[i]] or (i if self.sure[i] or 2 * self.size[i] <= self.size[0] else 0))
+            outer = foreign[self.around[i]]
+            own = (self.sure[i] or 2 * self.size[i] <= self.size[0]) and self.share[i] < counts[outer]
+            foreign.append(i if own else outer)
+            counts.append(self.share[i])
         # a region of one line, such as a cell or an item, is part of the one around it
         held = [0] * len(self.outer)
         for _, _, region, _ in self.lines:
@@ -193,7 +214,7 @@ class Lines(HTMLParser):
         for parts, tags, region, article in self.lines:
             for mark in dict.fromkeys(foreign[m] for _, m in parts):
                 if text := " ".join("".join(part for part, m in parts if foreign[m] == mark).split()):
-                    out.append((text, tags, (mark, final[region]), FOREIGN if mark else WEIGHT if article else 1.0))
+                    out.append((text, tags, (mark, final[region]), counts[mark] * (WEIGHT if article else 1.0)))
         return out
 
 
@@ -214,8 +235,13 @@ def main_text(html: str) -> str:
     number = {region: i for i, region in enumerate(dict.fromkeys(region for _, _, region, _ in lines))}
     of = np.array([number[region] for _, _, region, _ in lines])
     mean = np.bincount(of, ratios) / np.bincount(of)
-    # the best region is content wherever the threshold lies
-    content = mean > min(THRESHOLD * ratios.std(), mean.max() * (1 - 1e-9))
+    own = np.array([not mark for mark, _ in number])
+    if not own.any():
+        return ""
+    # the best region without such a name is content wherever the threshold lies, and what the others are held against
+    best = mean[own].max()
+    content = mean > min(THRESHOLD * ratios.std(), best * (1 - 1e-9))
+    content &= own | (mean > THRESHOLD * best)
     return "\n\n".join(text for (text, *_), r in zip(lines, of) if content[r])
 
 

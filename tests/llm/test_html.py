@@ -101,3 +101,25 @@ def test_tables_lists_and_pre_outside_of_articles():
     body = f"<h2>{head}</h2><p>{one}{table}<ul>{''.join(f'<li>{i}' for i in items)}</ul><pre>  x = 1\n\n  y =  2</pre><p>{two}"
     assert html.main_text(f"<main>{body}</main><footer>{one}</footer>").split("\n\n") == [head, one, *cells, *items, "x = 1 y = 2", two]
     assert html.main_text(f"<nav><li>{head}</nav><footer>{one}</footer>") == ""
+
+
+def test_an_article_keeps_its_header_footer_and_warnings():
+    text = "lorem ipsum dolor sit amet consectetur " * 8
+    head, one, two, three = "A short title", f"{text}one", f"{text}two", f"{text}three"
+    around = lambda article: f"<body><nav><a href=/>Home</a></nav><article>{article}</article><footer><p>{text}</footer>"
+    assert html.main_text(around(f"<header><h1>{head}</h1></header><p>{one}<p>{two}")).split("\n\n") == [head, one, two]
+    assert html.main_text(around(f"<p>{one}<section class=warning><p>{two}</p><p>{three}</p></section>")).split("\n\n") == [one, two, three]
+    assert html.main_text(around(f"<p>{one}<footer><p>{two}</p></footer>")).split("\n\n") == [one, two]
+    # a footer of links has too low a ratio
+    links = "".join(f"<li><a href=/{i}><b>tag</b></a>" for i in range(6))
+    assert html.main_text(around(f"<p>{one}<p>{two}<footer><ul>{links}</ul></footer>")).split("\n\n") == [one, two]
+
+
+def test_names_lower_a_weight_and_do_not_cancel_it():
+    text = "lorem ipsum dolor sit amet consectetur " * 8
+    page = f"<body>{'<div><p><b><i>a</i></b></p><p>b</p></div>' * 4}<div class=ad><p>{text * 40}</p><p>{text * 40}</p></div><div class=menu><p>c</p></div>{'<p>' + text * 50}"
+    lines = html.Lines().of(page)
+    assert {weight for *_, weight in lines} == {1.0, html.FOREIGN}
+    # very dense text passes against the name where nothing else on the page comes near
+    sparse = "".join(f"<div><span><b><i>x{i}</i></b></span></div>" for i in range(600))
+    assert html.main_text(f"<body>{sparse}<aside>{f'<p>{text * 6}</p>' * 12}</aside>").count((text * 6).strip()) == 12
