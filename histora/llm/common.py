@@ -106,23 +106,27 @@ def whole_groups(batches, keys: list[str], limit: int):
 
     A task thus holds a few groups, however many rows its partition has.
     """
+
+    def key(batch: pa.RecordBatch, row: int) -> list:
+        return [batch.column(k)[row].as_py() or 0 for k in keys]
+
     held, rows = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows >= limit:
+        # rows are put together only if a group has ended: those of one group are copied once, however many batches it has
+        if rows >= limit and key(held[0], 0) != key(batch, batch.num_rows - 1):
             some = pa.Table.from_batches(held).combine_chunks()
             changes = np.zeros(rows - 1, dtype=bool)
             for k in keys:
                 column = np.asarray(some[k].fill_null(0))
                 changes |= column[1:] != column[:-1]
-            cut = np.flatnonzero(changes)
-            if len(cut):
-                yield some.slice(0, cut[-1] + 1)
-                held = [b for b in some.slice(cut[-1] + 1).to_batches() if b.num_rows]
-                rows -= cut[-1] + 1
+            cut = np.flatnonzero(changes)[-1] + 1
+            yield some.slice(0, cut)
+            held = [b for b in some.slice(cut).to_batches() if b.num_rows]
+            rows -= cut
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
