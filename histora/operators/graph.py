@@ -166,3 +166,33 @@ def propagate(nodes: DataFrame, edges: DataFrame, changed: DataFrame, stop: Data
     back = edges.select(F.col("to_node").alias("node"), F.col("node").alias("to_node"))
     hit = closure(changed.select("node"), back, ["node"], stop=stop).withColumn("_hit", F.lit(True))
     return nodes.select("node").join(hit, "node", "left").select("node", F.col("_hit").isNotNull().alias("changed"))
+
+
+def lift_classes(commits: DataFrame, parents: DataFrame, mapped: DataFrame, hidden: DataFrame, disclosed: DataFrame) -> DataFrame:
+    """(node, class, canonical, reason): what becomes of public commits on the private side.
+
+    mapped: (node, canonical), commits whose private form is known; they are mapped, and what is before them isn't looked
+    at. Any other is a mirror if it discloses a path, if its parents' private form has a policy (hidden), or if the
+    private form of a parent isn't the parent itself (parent), the first of these being its reason. The rest are the same
+    on either side. canonical is null for mirrors, whose ids are made when they are written.
+
+    commits: (node), parents: (node, to_node), hidden and disclosed: (node). Repeated rows count once; rows of commits that
+    aren't in commits are ignored. Two private forms of a commit are an error of the mapping: such a commit has a row
+    each with the class ambiguous.
+    """
+    commits = commits.select("node").distinct()
+    forms = mapped.join(commits, "node", "left_semi").groupBy("node").agg(F.min("canonical").alias("canonical"), F.max("canonical").alias("_other"))
+    forms = written(forms.select("node", "canonical", (F.col("canonical") != F.col("_other")).alias("_several")), "forms")
+    open_ = commits.join(forms.select("node"), "node", "left_anti")
+    own = disclosed.select("node").distinct().withColumn("reason", F.lit("disclosure")).unionByName(hidden.select("node").distinct().withColumn("reason", F.lit("hidden")))
+    own = own.join(open_, "node", "left_semi").groupBy("node").agg(F.min("reason").alias("reason"))
+    moved = forms.where("_several OR canonical <> node").select(F.col("node").alias("to_node"))
+    after = parents.join(moved, "to_node", "left_semi").select("node").distinct().join(open_, "node", "left_semi")
+    changed = propagate(open_, parents, own.select("node").unionByName(after).distinct(), forms.select("node"))
+    rest = changed.join(own, "node", "left").select(
+        "node", F.when(F.col("changed"), "mirror").otherwise("identity").alias("class"), F.when(~F.col("changed"), F.col("node")).alias("canonical"),
+        F.when(F.col("changed"), F.coalesce("reason", F.lit("parent"))).alias("reason"),
+    )
+    one = forms.where("NOT _several").select("node", F.lit("mapped").alias("class"), "canonical", F.lit(None).cast("string").alias("reason"))
+    several = mapped.join(forms.where("_several").select("node"), "node", "left_semi").select("node", "canonical").distinct()
+    return rest.unionByName(one).unionByName(several.select("node", F.lit("ambiguous").alias("class"), "canonical", F.lit(None).cast("string").alias("reason")))

@@ -83,6 +83,27 @@ def prune(parents: DataFrame, children: DataFrame, key: str, expired: Column, or
     return parents.join(gone, key, "left_anti"), children.join(gone, key, "left_anti")
 
 
+def prune_receipts(receipts: DataFrame, heads: DataFrame, counters: DataFrame, group: list[str], key: str, expired: Column, order: list[str], limit: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(receipts, heads, counters) after a pass: the oldest expired receipts of all groups, at most limit of them, go with
+    their heads, and the counters (group, receipts, heads) of their groups are lowered by what went, never below zero.
+
+    order ends in the key where ages tie, so that a pass is the same wherever it runs. Only keys of the receipts that go,
+    which limit bounds, are joined; heads are counted in part before they are shuffled. Receipts without heads lower the
+    number of receipts alone; groups without a counter get none; heads of receipts that aren't there stay.
+    """
+    gone = receipts.where(expired)
+    if limit is not None:
+        gone = gone.orderBy(*order, *group, key).limit(limit)
+    gone = gone.select(*group, key).distinct()
+    ids = [*group, key]
+    fewer = gone.groupBy(*group).agg(F.count("*").alias("_receipts")).join(
+        heads.join(gone, ids, "left_semi").groupBy(*group).agg(F.count("*").alias("_heads")), group, "left"
+    )
+    less = lambda c: F.greatest(F.lit(0), F.col(c) - F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c)
+    corrected = counters.join(fewer, group, "left").select(*(less(c) if c in ("receipts", "heads") else c for c in counters.columns))
+    return receipts.join(gone, ids, "left_anti"), heads.join(gone, ids, "left_anti"), corrected
+
+
 def assign_packs(objects: DataFrame, group: list[str], position: str, size: str, before: str, most_bytes: int, most_objects: int) -> DataFrame:
     """Adds pack: the next-fit bin of each object in order of position; an object alone over most_bytes gets -1 as pack.
 

@@ -9,6 +9,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from ..functions.identity import content_id, digest64
+from .stages import null_safe_join
 
 
 def glob_to_regex(pattern: str) -> str:
@@ -152,16 +153,61 @@ def embedded(decided: DataFrame) -> DataFrame:
     return decided.where("NOT hidden AND kind = 5").drop("hidden")
 
 
+def classify_by(paths: DataFrame, private: DataFrame, ignored: DataFrame, scope: list[str], policy_name: str | None = None) -> DataFrame:
+    """(columns of paths, class): hidden by the private rules of the path's scope, else ignored by its other rules, else visible."""
+    hidden = decide_by(paths, private, scope, policy_name).withColumnRenamed("hidden", "_hidden")
+    both = decide_by(hidden, ignored, scope)
+    return both.select(*paths.columns, F.when(F.col("_hidden"), "hidden").when(F.col("hidden"), "ignored").otherwise("visible").alias("class"))
+
+
 def leaks(public: DataFrame, rules: list, policy_name: str | None = None) -> DataFrame:
+    """Paths of public trees that one list of rules for all of them hides."""
     return decide(public, rules, policy_name).where("hidden").drop("hidden")
 
 
+def leaks_by(public: DataFrame, rules: DataFrame, scope: list[str], policy_name: str | None = None) -> DataFrame:
+    """Paths of public trees that the rules of their scope, such as the commit that was projected, hide."""
+    return decide_by(public, rules, scope, policy_name).where("hidden").drop("hidden")
+
+
 def disclosures(foreign: DataFrame, rules: list) -> DataFrame:
-    """(commit_id, path, message): paths of foreign commits that the rules of their parents hide."""
-    found = leaks(foreign, rules)
+    """(commit_id, path, message): paths of foreign commits that one list of rules hides."""
+    return _disclosed(leaks(foreign, rules))
+
+
+def _disclosed(found: DataFrame) -> DataFrame:
     return found.select("commit_id", "path", F.format_string("%s discloses %s", F.col("commit_id").cast("string"), "path").alias("message"))
 
 
+def rules_of_parents(parents: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rules that hold in what a commit's parents merge into, (commit_id, directory, line, pattern, negated, dir_only),
+    and (commit_id, directory) of policy files that differ between them, whose rules hold nowhere.
+
+    parents: (commit_id, parent), any number a commit, repeats allowed; rules: by scope, which is the parent. A file that
+    one parent has alone is merged in. The rules of a file are one row, so parents are compared file by file without
+    bringing a commit's files together.
+    """
+    rule = F.struct("line", "pattern", "negated", "dir_only")
+    files = rules.groupBy("scope", "directory").agg(F.array_sort(F.collect_set(rule)).alias("_file"))
+    met = parents.join(files, parents["parent"] == files["scope"]).groupBy("commit_id", "directory").agg(F.min("_file").alias("_file"), F.max("_file").alias("_other"))
+    merged = met.where("_file = _other").select("commit_id", "directory", F.explode("_file").alias("_rule"))
+    return merged.select("commit_id", "directory", "_rule.*"), met.where("_file <> _other").select("commit_id", "directory")
+
+
+def disclosures_by(foreign: DataFrame, parents: DataFrame, rules: DataFrame, policy_name: str | None = None) -> DataFrame:
+    """(commit_id, path, message): paths of foreign commits that the rules of their own parents hide, and the directories
+    in whose policy the parents differ.
+
+    foreign: (commit_id, path); parents and rules as for rules_of_parents(). Commits without parents disclose nothing but
+    policy files.
+    """
+    merged, differing = rules_of_parents(parents, rules)
+    found = _disclosed(leaks_by(foreign.select("commit_id", "path"), merged, ["commit_id"], policy_name))
+    known = differing.join(foreign.select("commit_id").distinct(), "commit_id", "left_semi")
+    message = F.format_string("parents of %s differ in the policy of '%s'", F.col("commit_id").cast("string"), "directory")
+    return found.unionByName(known.select("commit_id", F.col("directory").alias("path"), message.alias("message")))
+
+
 def overlay(base: DataFrame, left: DataFrame, right: DataFrame, forced: DataFrame | None = None) -> DataFrame:
     """(path, oid, conflict): a three-way overlay. Equal sides agree; a side equal to the base gives way to the other;
     else the terms of the conflict are left, base and right. Paths in forced are in conflict whatever the sides say."""
@@ -223,11 +269,12 @@ def policy_identity(files: DataFrame, scope: list[str], domain: bytes) -> DataFr
 def tree_ids(files: DataFrame, scope: list[str], written) -> DataFrame:
     """(scope, path, id): the id of each directory's tree, the top's path being empty; directories without files have none.
 
-    files: (scope, path, kind, oid in hex), kinds 0 file, 1 executable, 2 symlink. Levels are encoded from the deepest
+    files: (scope, path, kind, oid in hex), kinds 0 file, 1 executable, 2 symlink, 3 a directory whose id is known already,
+    5 an embedded repository. Levels are encoded from the deepest
     up: a directory's entries are sorted as if directories' names ended in a slash, put together and hashed. A
     directory's entries are bounded by the size of one object. written cuts lineage.
     """
-    mode = F.when(F.col("kind") == 1, "100755").when(F.col("kind") == 2, "120000").when(F.col("kind") == 3, "40000").otherwise("100644")
+    mode = F.when(F.col("kind") == 1, "100755").when(F.col("kind") == 2, "120000").when(F.col("kind") == 3, "40000").when(F.col("kind") == 5, "160000").otherwise("100644")
     place = F.concat(F.col("name").cast("binary"), F.unhex(F.when(F.col("kind") == 3, "2F").otherwise("00")))
     entry = F.concat(mode.cast("binary"), F.lit(b" "), F.col("name").cast("binary"), F.unhex(F.lit("00")), F.unhex("oid"))
     parts = F.split("path", "/")
@@ -247,3 +294,43 @@ def tree_ids(files: DataFrame, scope: list[str], written) -> DataFrame:
             here = rows.where(F.col("_depth") == d - 1).drop("_depth")
             above = here.unionByName(trees.select(*scope, "path", F.lit(3).alias("kind"), F.col("id").alias("oid")))
     return out if out is not None else files.limit(0).select(*scope, "path", F.col("oid").alias("id"))
+
+
+#: Id of the tree without entries, a fixed value.
+EMPTY_TREE = "4b825dc642cb6eb9a060e54bf8d69288fbee4904"
+
+
+def public_trees(decided: DataFrame, trees: DataFrame, scope: list[str], written) -> DataFrame:
+    """(scope, path, id, encoded, error): the directories that are left without hidden paths, and their trees' ids.
+
+    Only directories with a hidden path or an empty tree below them are encoded; all others keep the id that they have in
+    trees, and their entries aren't looked at. Directories of which nothing is left go, but the top, which may be the
+    empty tree. A visible embedded repository (kind 5) is an error: its scope has a row with its path and the error, one
+    for each, and no ids.
+
+    decided: (scope, path, kind, oid, hidden); trees: (scope, path, id) of all directories before, the top's path being
+    empty. Repeated rows of either count once. Empty tables give an empty table.
+    """
+    decided = written(decided.select(*scope, "path", "kind", "oid", "hidden").distinct(), "decided")
+    trees = trees.select(*scope, "path", "id").distinct()
+    refused = decided.where("NOT hidden AND kind = 5").select(*scope, "path")
+    bad = written(refused, "refused")
+    if scope:
+        decided, trees = (null_safe_join(d, bad.select(*scope).distinct(), scope, "left_anti") for d in (decided, trees))
+    elif bad.limit(1).count():
+        decided, trees = decided.limit(0), trees.limit(0)
+    parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    lost = decided.where("hidden").select(*scope, "path").unionByName(trees.where((F.col("id") == EMPTY_TREE) & (F.col("path") != "")).select(*scope, "path"))
+    # one row a directory before its ancestors are made
+    touched = lost.select(*scope, parent.alias("path")).distinct()
+    above = F.concat(F.array(F.lit("")), F.transform(F.filter(ancestors_of(F.col("path")), lambda a: a["path"] != ""), lambda a: a["path"]))
+    changed = written(touched.select(*scope, F.explode(F.array_distinct(above)).alias("path")).distinct(), "changed")
+    kept = written(null_safe_join(trees.where((F.col("id") != EMPTY_TREE) | (F.col("path") == "")), changed, [*scope, "path"], "left_anti"), "kept")
+    files = decided.where("NOT hidden").select(*scope, "path", F.col("kind").cast("int").alias("kind"), "oid")
+    entries = files.unionByName(kept.where("path <> ''").select(*scope, "path", F.lit(3).alias("kind"), F.col("id").alias("oid"))).withColumn("_name", F.col("path"))
+    within = null_safe_join(entries.withColumn("path", parent), changed, [*scope, "path"], "left_semi")
+    encoded = tree_ids(within.select(*scope, F.col("_name").alias("path"), "kind", "oid"), scope, written)
+    bare = null_safe_join(changed.where("path = ''"), encoded.where("path = ''").select(*scope, "path"), [*scope, "path"], "left_anti")
+    made = encoded.unionByName(bare.select(*scope, "path", F.lit(EMPTY_TREE).alias("id"))).withColumn("encoded", F.lit(True))
+    out = made.unionByName(kept.withColumn("encoded", F.lit(False))).withColumn("error", F.lit(None).cast("string"))
+    return out.unionByName(bad.select(*scope, "path", F.lit(None).cast("string").alias("id"), F.lit(False).alias("encoded"), F.lit("embedded_repository").alias("error")))

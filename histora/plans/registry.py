@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from . import formats, graphs, history, journal, operations, records, streams  # noqa: E402,F401
+from . import formats, graphs, history, journal, lifting, operations, records, streams  # noqa: E402,F401
