@@ -104,31 +104,27 @@ def prune_receipts(receipts: DataFrame, heads: DataFrame, counters: DataFrame, g
     return receipts.join(gone, ids, "left_anti"), heads.join(gone, ids, "left_anti"), corrected
 
 
-def assign_packs(objects: DataFrame, group: list[str], position: str, size: str, before: str, most_bytes: int, most_objects: int) -> DataFrame:
+def assign_packs(objects: DataFrame, group: list[str], position: str, size: str, before: str, most_bytes: int, most_objects: int, block: int = 1 << 16) -> DataFrame:
     """Adds pack: the next-fit bin of each object in order of position; an object alone over most_bytes gets -1 as pack.
 
     position counts from 0 without gaps in each group, before is the sum of sizes ahead. Where a bin that began at i
-    ends depends on i alone: next(i) is the first place at which bytes or objects no longer fit. Starts of bins are what
-    is reached from 0 by next, found by pointer doubling in log2 rounds; each object then belongs to the last start
-    not after it. An object that is too large ends the bin before it and stands alone.
+    ends depends on i alone: next(i) is the first place at which bytes or objects no longer fit, at most most_objects
+    further. Places are dealt into blocks of at least so many, so next(i) is in the block of i or the one after, and is
+    found by sorting two blocks at a time: no task holds a group. Starts of bins are what is reached from 0 by next, found
+    by pointer doubling in log2 rounds; each object then belongs to the last start not after it, counted block by block.
+    An object that is too large ends the bin before it, since its end is beyond any limit, and stands alone.
     """
-    rows = written(objects.select(*group, position, size, before).withColumn("_over", F.col(size) > most_bytes), "sizes")
-    end = F.when(F.col("_over"), F.col(before) + F.col(size)).otherwise(F.col(before) + most_bytes)
-    # the first place whose end is beyond: by a search over sorted marks, as a window over starts and ends together
-    starts = rows.select(*group, F.col(position).alias("_from"), end.alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_to"), F.col("_over"))
-    ends = rows.select(*group, F.lit(None).cast("long").alias("_from"), (F.col(before) + F.col(size)).alias("_at"), F.lit(1).alias("_side"), F.col(position).cast("long").alias("_to"), F.lit(False).alias("_over"))
-    w = Window.partitionBy(*group).orderBy("_at", "_side", F.desc("_to")).rowsBetween(1, Window.unboundedFollowing)
-    # ends equal to the limit fit, so they come before it
-    both = starts.withColumn("_side", F.lit(2)).unionByName(ends)
-    fits = both.withColumn("_next", F.min("_to").over(w)).where("_side = 2").select(*group, "_from", "_next", F.col("_over").alias("_alone"))
-    last = rows.groupBy(*group).agg((F.max(position) + 1).cast("long").alias("_n"))
-    over = rows.where("_over").select(*group, F.col(position).cast("long").alias("_big"))
-    ahead = Window.partitionBy(*group).orderBy("_from").rowsBetween(1, Window.unboundedFollowing)
-    marked = fits.join(over.withColumnRenamed("_big", "_from"), [*group, "_from"], "left").withColumn("_after", F.min(F.when(F.col("_alone"), F.col("_from"))).over(ahead))
-    nexts = marked.join(last, group).select(
-        *group, "_from", F.when(F.col("_alone"), F.col("_from") + 1).otherwise(F.least(F.coalesce("_next", "_n"), F.col("_from") + most_objects, F.coalesce("_after", "_n"), "_n")).alias("_to")
-    )
-    jump = written(nexts.withColumn("_to", F.greatest("_to", F.col("_from") + 1)), "jump")
+    block = max(block, most_objects)
+    rows = written(objects.select(*group, F.col(position).cast("long").alias(position), size, before).withColumn("_over", F.col(size) > most_bytes), "sizes")
+    within = F.floor(F.col(position) / block)
+    starts = rows.select(*group, within.alias("_block"), F.col(position).alias("_from"), (F.col(before) + most_bytes).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_to"), F.col("_over"))
+    ends = rows.select(*group, F.explode(F.array(within, within - 1)).alias("_block"), F.lit(None).cast("long").alias("_from"), (F.col(before) + F.col(size)).alias("_at"), F.lit(0).alias("_side"), F.col(position).alias("_to"), F.lit(False).alias("_over"))
+    # from the last mark back: ends beyond the limit come before the start, those equal to it, which fit, after it
+    beyond = Window.partitionBy(*group, "_block").orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)
+    fits = starts.unionByName(ends).withColumn("_next", F.min("_to").over(beyond)).where("_side = 1")
+    # null where no later end is beyond: the bin ends by its objects, or with the group
+    to = F.when(F.col("_over"), F.col("_from") + 1).otherwise(F.least("_next", F.col("_from") + most_objects))
+    jump = written(fits.select(*group, "_from", to.alias("_to")), "jump")
     reached = written(rows.where(F.col(position) == 0).select(*group, F.col(position).cast("long").alias("_from")), "starts")
     known = reached.count()
     while True:
@@ -140,9 +136,10 @@ def assign_packs(objects: DataFrame, group: list[str], position: str, size: str,
         far = jump.select(*group, F.col("_from").alias("_to"), F.col("_to").alias("_far"))
         jump = written(jump.join(far, [*group, "_to"], "left").select(*group, "_from", F.coalesce("_far", "_to").alias("_to")), "jump")
     begun = reached.withColumn("_start", F.lit(1)).withColumnRenamed("_from", position)
-    pack = F.count("_start").over(Window.partitionBy(*group).orderBy(position)) - 1
-    out = objects.join(begun, [*group, position], "left").withColumn("pack", pack).drop("_start")
-    return out.withColumn("pack", F.when(F.col(size) > most_bytes, F.lit(-1)).otherwise(F.col("pack")))
+    started = F.coalesce(F.col("_start"), F.lit(0))
+    out = prefix_sums(objects.join(begun, [*group, position], "left"), group, [position], started, "_earlier", F.floor(F.col(position) / block))
+    pack = F.when(F.col(size) > most_bytes, F.lit(-1)).otherwise(F.col("_earlier") + started - 1)
+    return out.withColumn("pack", pack.cast("long")).drop("_start", "_earlier")
 
 
 def with_offsets(objects: DataFrame, pack: list[str], order: list[str], size: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Public trees, rules of several parents, lifted commits, pruned receipts."""
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -114,3 +115,29 @@ def test_pruned_receipts_lower_their_counters(spark):
         got = {x.repo: (x.receipts, x.heads, x.note) for x in c.collect()}
         assert got == ({"r": (2, 2, "x"), "s": (2, 1, "y"), "u": (0, 1, "z")} if limit == 0 else {"r": (0, 0, "x"), "s": (1, 0, "y"), "u": (0, 1, "z")})
         assert h.count() == (5 if limit == 0 else 2)
+
+
+def test_bins_over_many_blocks(spark):
+    rng = random.Random(12)
+    for most_objects, block in ((5, 1), (5, 16), (40, 1), (1, 1)):
+        want, data = {}, []
+        for g in range(3):
+            pack, used, k, alone, total = 0, 0, 0, False, 0
+            for i in range(rng.choice([1, 150, 400])):
+                n = rng.choice([0, 0, 1, 3, 30, 100, 101, 500])
+                if i and (alone or n > 100 or used + n > 100 or k >= most_objects):
+                    pack, used, k = pack + 1, 0, 0
+                used, k, alone = used + n, k + 1, n > 100
+                want[g, i] = -1 if n > 100 else pack
+                data.append((g, i, n, total))
+                total += n
+        df = spark.createDataFrame(data, "g int, i long, n long, before long")
+        assert {(r.g, r.i): r["pack"] for r in ordering.assign_packs(df, ["g"], "i", "n", "before", 100, most_objects, block).collect()} == want
+    assert ordering.assign_packs(df.limit(0), ["g"], "i", "n", "before", 100, 5).count() == 0
+
+
+def test_bins_sort_two_blocks_at_a_time(spark):
+    n = 200_000
+    df = spark.range(n).select(F.lit(0).alias("g"), F.col("id").alias("i"), F.lit(1).cast("long").alias("n"), F.col("id").alias("before"))
+    got = ordering.assign_packs(df, ["g"], "i", "n", "before", 1000, 4096, 4096).groupBy("pack").count()
+    assert got.where("count <> 1000").count() == 0 and got.count() == n // 1000
