@@ -9,9 +9,10 @@ root, which is the base distribution. A position is scored in its longest kept s
 Shares bound what is broadcast whatever the size of the corpus: below 1/WORD words, 1/P_MIN states a level and
 1/JOINT entries a level. Counts of all other words stay in tables.
 
-Below these short states the tree has long ones, kept in tables by their counts and not by shares, so that they grow
-with the corpus. CONTEXT words in a row are an anchor if their hash says so, which about one in EVERY does. An anchor
-is a context whose next symbol is the whole run of words up to the next anchor, or to the end. A run that training
+Below these short states the tree has long ones, kept by their counts and not by shares, so that they grow with the
+corpus; they are counted by ranges of anchors from sorted lists of hashes (64 bits: 40 of the anchor, 24 of its run). CONTEXT words in a row are an anchor if their hash says so, which about one in EVERY does. An anchor
+is a context whose next symbol is the whole run of words up to the next anchor, or to the end. By default EVERY is 1:
+all positions are anchors, and the run is the next word alone. A run that training
 texts hold twice behind its anchor is an entry; an anchor with entries is kept as a state if its distribution diverges
 from what the short states say of the same words. Runs that aren't entries share what discounting takes off.
 """
@@ -24,11 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_join, mix64, slabs, table, written
+from .common import mix64, slabs, table, whole_groups, written
 
 #: Least shares of a word that is looked up in memory, of a symbol, of a context, and of a context with its next symbol.
 WORD, SYMBOL, P_MIN, JOINT = 1e-6, 5e-5, 5e-4, 2e-7
@@ -37,8 +39,10 @@ DEPTH = 3
 DIVERGENCE, DISCOUNT = 0.01, 0.75
 ALPHA = 0.1
 #: Words of an anchor (more than DEPTH, so that short states of the run behind it don't depend on what is before it), how
-#: many positions have one anchor, and the least count of a run.
-CONTEXT, EVERY, TWICE = 4, 16, 2
+#: many positions have one anchor (every position that has CONTEXT words before it), and the least count of a run.
+CONTEXT, EVERY, TWICE = 4, 1, 2
+#: Positions of a bucket of texts and of a range of anchors, and the bits of a key that tell runs of an anchor apart.
+MOST, _RUN = 1_000_000, np.uint64((1 << 24) - 1)
 #: The end; no word holds a blank.
 END = b" end"
 
@@ -81,7 +85,7 @@ class Tree:
     def __init__(self, words: list[tuple[bytes, int]], total: int, distinct: int):
         self.total, self.distinct = total, distinct
         self.at = {w: i for i, (w, _) in enumerate(words)}
-        counts = np.array([n for _, n in words], dtype=float)
+        self.counts = counts = np.array([n for _, n in words], dtype=float)
         p = (counts + ALPHA) / self.norm
         self.log_base = np.log10(p)
         self.other = int((counts >= max(2, SYMBOL * total)).sum())
@@ -143,7 +147,7 @@ class Tree:
 
 
 def _transitions(texts: DataFrame, tree: Tree, most: int = 2_000_000) -> DataFrame:
-    """(state, symbol, n): how often each symbol follows each state of the last level."""
+    """(state, symbol, n): how often each symbol follows each state of the last level in the training texts of encoded ones."""
     shared, depth, symbols = texts.sparkSession.sparkContext.broadcast(tree), len(tree.states), tree.symbols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +160,9 @@ def _transitions(texts: DataFrame, tree: Tree, most: int = 2_000_000) -> DataFra
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys // symbols), pa.array(keys % symbols), pa.array(counts)], ["state", "symbol", "n"])
 
-        for _, some in slabs(batches, ["text"], "text", 8 << 20):
-            ids, _, _ = shared.value.flat(some)
-            symbol, found = shared.value.walk(ids, depth)
-            here = found[-1] >= 0
+        for held, sizes, value in (row.values() for batch in batches for row in batch.select(["held_out", "sizes", "ids"]).to_pylist()):
+            symbol, found = shared.value.walk(_array(value, np.int32).astype(np.int64), depth)
+            here = (found[-1] >= 0) & ~np.repeat(held, sizes)
             new, n = np.unique(found[-1][here] * symbols + symbol[here], return_counts=True)
             keys, counts = merged(np.concatenate([keys, new]), np.concatenate([counts, n]))
             if len(keys) > most:
@@ -173,16 +176,29 @@ def _transitions(texts: DataFrame, tree: Tree, most: int = 2_000_000) -> DataFra
 
 def fit(texts: DataFrame, counts: DataFrame, depth: int = DEPTH) -> Tree | None:
     """The tree of (text), whose word counts are given; None without texts."""
+    tree = root(counts)
+    if tree is not None:
+        rows = texts.select(F.lit(0).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text")
+        grow(tree, written(encoded(rows, texts.sparkSession.sparkContext.broadcast(tree)), "encoded"), depth)
+    return tree
+
+
+def root(counts: DataFrame) -> Tree | None:
+    """The tree without levels; None without words."""
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
     if not total:
         return None
     common = counts.where((F.col("n") >= max(2, WORD * total)) | (F.col("word") == F.lit(END)))
     words = sorted(((bytes(w), n) for w, n in common.select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
-    tree = Tree(words, total, distinct)
+    return Tree(words, total, distinct)
+
+
+def grow(tree: Tree, texts: DataFrame, depth: int = DEPTH) -> None:
+    """Adds the levels that the training texts of encoded ones give."""
+    total = tree.total
     least = max(2.0, P_MIN * total)
     # level 1: every frequent symbol but the class of others
-    n_symbol = np.array([n for _, n in words[: tree.other]])
-    level = np.flatnonzero(n_symbol >= least)
+    level = np.flatnonzero(tree.counts[: tree.other] >= least)
     parents: list[np.ndarray] = []
     distributions = [{0: tree.root}]
     kept: list[set[int]] = []
@@ -234,7 +250,6 @@ def fit(texts: DataFrame, counts: DataFrame, depth: int = DEPTH) -> Tree | None:
         keys, values = tree.entries[k]
         stays = ~drop[keys // tree.symbols]
         tree.entries[k] = (keys[stays], values[stays])
-    return tree
 
 
 def _longer(tree: Tree, k: int, states: np.ndarray, symbols: np.ndarray, ns: np.ndarray, least: float) -> np.ndarray:
@@ -289,25 +304,138 @@ def runs(ids: np.ndarray, sizes: np.ndarray, unknown: list[list[bytes]], every:
         return at, run, context[at], mix64(mix64(context[at]) + np.add.reduceat(value, at + 1))
 
 
-def long_states(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """States (a, n_a, rest) and their entries (k, n, own) of the training texts' runs (a, k, lp).
+def _planes(x: np.ndarray) -> bytes:
+    """An array byte by byte, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+
+
+def _array(value: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(value), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind)[:, 0]
+
+
+def encoded(rows: DataFrame, shared, most: int = MOST) -> DataFrame:
+    """(bucket, doc_id, held_out, sizes, ids, unknown): about most positions of neighbouring texts a row, as Tree.flat has them."""
+    names = ["bucket", "doc_id", "held_out", "sizes", "ids", "unknown"]
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket = TaskContext.get().partitionId() << 20
+        docs: list[tuple] = []
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            ids, sizes, words = zip(*held)
+            row = [bucket, *(list(c) for c in zip(*docs)), np.concatenate(sizes).tolist(), _planes(np.concatenate(ids).astype(np.int32)), zstandard.compress(b" ".join(w for w in words if w), 1)]
+            held.clear()
+            docs.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
+
+        size = 0
+        for own, texts in slabs(batches, ["doc_id", "held_out", "text"], "text"):
+            ids, sizes, unknown = shared.value.flat(texts)
+            docs += zip(*own)
+            held.append((ids, sizes, b" ".join(w for some in unknown for w in some)))
+            size += len(ids)
+            if size >= most:
+                yield out()
+                bucket, size = bucket + 1, 0
+        if size:
+            yield out()
+
+    return rows.mapInArrow(run, "bucket long, doc_id array<long>, held_out array<boolean>, sizes array<int>, ids binary, unknown binary")
+
+
+class Bucket:
+    """The texts of a row of encoded: their positions, with their probabilities in short states, and their runs."""
+
+    def __init__(self, tree: Tree, sizes: list[int], ids: bytes, unknown: bytes, every: int):
+        self.ids, self.sizes = _array(ids, np.int32).astype(np.int64), np.array(sizes, dtype=np.int64)
+        self.words = zstandard.decompress(unknown).split()
+        self.base = np.where(self.ids >= 0, tree.log_base[self.ids], 0.0)
+        self.p = np.log10(tree.probabilities(self.ids))
+        # a word of the class of others: its share of the class is that at the root
+        other = (self.ids < 0) | (self.ids >= tree.other)
+        self.p += np.where(other, self.base - np.log10(tree.root[tree.other]), 0.0)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.at, self.run, anchors, keys = runs(self.ids, self.sizes, [self.words], every)
+        self.lp = np.add.reduceat(np.where(self.run >= 0, self.p, 0.0), self.at + 1) if len(self.at) else np.zeros(0)
+        #: Each different pair of an anchor and its run, in order, where one is, and which of them each run is.
+        self.keys, self.one, self.which = np.unique(anchors & ~_RUN | keys & _RUN, return_index=True, return_inverse=True)
+        self.owner = np.searchsorted(self.starts, self.at, side="right") - 1
 
-    a, k, lp: hashes of an anchor and of it with its run, and the run's log10 probability in the short states, words
-    that aren't in memory left aside; with them it would be smaller still, so the divergence tested is a lower bound.
+
+def _cuts(keys: np.ndarray, parts: int) -> list[int]:
+    """Where each of parts equal ranges of anchors begins in sorted keys, and their end."""
+    bounds = np.array([-(-(i << 40) // parts) << 24 for i in range(parts)], dtype=np.uint64)
+    return [*np.searchsorted(keys, bounds).tolist(), len(keys)]
+
+
+def kept_runs(key: np.ndarray, n: np.ndarray, lp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (key, count in training texts, log10 probability in short states): whether the anchor is kept as a state;
+    three numbers of it (count, and number and counts of its entries); and the row's own count, 0 if it isn't an entry.
+
+    Words that aren't in memory are left out of lp; with them it would be smaller still, so the divergence is a lower bound.
+    """
+    order = np.argsort(key, kind="stable")
+    sorted_ = key[order]
+    first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    unique, n_k, lp_k = sorted_[first], np.add.reduceat(n[order], first), np.maximum.reduceat(lp[order], first)
+    anchor = unique >> np.uint64(24)
+    start = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+    of = np.cumsum(np.bincount(start, minlength=len(unique))) - 1
+    entry = n_k >= TWICE
+    n_k = np.where(entry, n_k, 0)
+    n_a = np.add.reduceat(n[order], first[start])
+    kinds, seen = np.add.reduceat(entry, start, dtype=np.int64), np.add.reduceat(n_k, start)
+    rest = 1 - (seen - DISCOUNT * kinds) / np.maximum(n_a, 1)
+    p = (n_k - DISCOUNT) / np.maximum(n_a, 1)[of] + rest[of] * 10.0**lp_k
+    d = np.add.reduceat(np.where(entry, p * (np.log(np.where(entry, p, 1.0)) - lp_k * np.log(10)), 0.0), start) + rest * np.log(rest)
+    kept = (kinds > 0) & (d >= DIVERGENCE) & (n_a * d >= kinds)
+    back = np.empty(len(key), dtype=np.int64)
+    back[order] = np.repeat(np.arange(len(unique)), np.diff(np.append(first, len(key))))
+    own = of[back]
+    return kept[own], np.stack([n_a, kinds, seen])[:, own], n_k[back]
+
+
+def long_states(texts: DataFrame, shared, parts: int, every: int) -> DataFrame:
+    """(bucket, part, kept, numbers): which keys of a bucket have an anchor that is kept as a state, and their counts.
+
+    Each bucket sends its keys, sorted and compressed, with their counts in its training texts, to where each range of
+    anchors is counted, and gets back what is known of each of them: no position goes as a row, and none is left out.
     """
-    entries = written(chunks.groupBy("a", "k").agg(F.count("*").alias("n"), F.max("lp").alias("lp")).where(F.col("n") >= TWICE), "entries")
-    sizes = chunks.groupBy("a").agg(F.count("*").alias("n_a")).where(F.col("n_a") >= TWICE)
-    kinds = entries.groupBy("a").agg(F.count("*").alias("kinds"), F.sum("n").alias("seen"))
-    rest = (1 - (F.col("seen") - DISCOUNT * F.col("kinds")) / F.col("n_a")).alias("rest")
-    anchors = written(sizes.join(kinds, "a").select("a", "n_a", "kinds", rest), "anchors")
-    own = (F.col("n") - DISCOUNT) / F.col("n_a")
-    full = written(hot_join(entries, anchors, "a", "kinds").withColumn("own", own), "long_entries")
-    p = F.col("own") + F.col("rest") * F.pow(F.lit(10.0), "lp")
-    tested = full.groupBy("a").agg(F.first("n_a").alias("n_a"), F.first("kinds").alias("kinds"), F.first("rest").alias("rest"), F.sum(p * (F.ln(p) - F.col("lp") * float(np.log(10)))).alias("d"))
-    d = F.col("d") + F.col("rest") * F.ln("rest")
-    states = written(tested.where((d >= DIVERGENCE) & (F.col("n_a") * d >= F.col("kinds"))).select("a", "n_a", "kinds", "rest"), "states")
-    kept = hot_join(full.select("a", "k", "n", "own"), states, "a", "kinds")
-    return states, written(kept.select("k", "n", "own"), "kept")
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                number, held, *rest = (batch.column(c)[row].as_py() for c in ("bucket", "held_out", "sizes", "ids", "unknown"))
+                b = Bucket(shared.value, *rest, every)
+                n = np.bincount(b.which, ~np.array(held)[b.owner], minlength=len(b.keys)).astype(np.uint32)
+                lp, cuts = b.lp[b.one].astype(np.float16), _cuts(b.keys, parts)
+                some = [i for i in range(parts) if cuts[i] < cuts[i + 1]]
+                columns = [[f(x[cuts[i] : cuts[i + 1]]) for i in some] for f, x in ((lambda x: _planes(np.diff(x, prepend=np.uint64(0))), b.keys), (_planes, n), (_planes, lp))]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([number] * len(some), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["part", "bucket", "keys", "n", "lp"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in whole_groups(batches, ["part"], 1):
+            part, columns = np.asarray(some["part"]), [some[c].to_pylist() for c in ("bucket", "keys", "n", "lp")]
+            for i in np.unique(part):
+                own = np.flatnonzero(part == i)
+                bucket, keys, n, lp = ([c[x] for x in own] for c in columns)
+                keys = [np.cumsum(_array(x, np.uint64), dtype=np.uint64) for x in keys]
+                cuts = np.cumsum([0, *map(len, keys)])
+                kept, of_anchor, of_run = kept_runs(np.concatenate(keys), np.concatenate([_array(x, np.uint32) for x in n]).astype(np.int64), np.concatenate([_array(x, np.float16) for x in lp]).astype(float))
+                rows = []
+                for b, x, y in zip(bucket, cuts[:-1], cuts[1:]):
+                    here = kept[x:y]
+                    if here.any():
+                        numbers = np.concatenate([*of_anchor[:, x:y][:, here], of_run[x:y][here]]).astype(np.uint32)
+                        rows.append((b, int(i), _planes(np.packbits(here)), _planes(numbers)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "part", "kept", "numbers"])
+
+    sent = texts.mapInArrow(send, "part long, bucket long, keys binary, n binary, lp binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(count, "bucket long, part long, kept binary, numbers binary")
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, every: int = EVERY) -> DataFrame:
@@ -322,63 +450,81 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
     rows = _with_sides(docs, key, text)
     train = rows.where("NOT held_out").select("text")
     counts = written(word_counts(train), "words")
-    tree = fit(train, counts, depth)
+    tree = root(counts)
     if tree is None:
         words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))) + 1
         zero, none = F.lit(0.0), F.lit(0).cast("long")
         return rows.select("doc_id", "held_out", words.cast("long").alias("n_tokens"), none.alias("n_known"), none.alias("train_tokens"), zero.alias("base_score"), zero.alias("score"))
+    texts = written(encoded(rows, spark.sparkContext.broadcast(tree)), "encoded")
+    grow(tree, texts, depth)
     shared = spark.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, uid = shared.value, TaskContext.get().partitionId() << 33
-        log_other = np.log10(tree.root[tree.other])
-        for (ids, held), texts in slabs(batches, ["doc_id", "held_out", "text"], "text"):
-            flat, sizes, unknown = tree.flat(texts)
-            base = np.where(flat >= 0, tree.log_base[flat], 0.0)
-            p = np.log10(tree.probabilities(flat))
-            # a word of the class of others: its share of the class is that at the root
-            p += np.where((flat < 0) | (flat >= tree.other), base - log_other, 0.0)
-            starts = np.cumsum(sizes) - sizes
-            at, run, anchors, keys = runs(flat, sizes, unknown, every)
-            lp = np.add.reduceat(np.where(run >= 0, p, 0.0), at + 1) if len(at) else np.zeros(0)
-            cut = np.searchsorted(at, np.append(starts, len(flat)))
-            # unknown words by the number of their run in the text, -1 before the first
-            missing = np.flatnonzero(flat < 0)
-            number = np.maximum(run[missing] - cut[np.searchsorted(starts, missing, side="right") - 1], -1).tolist()
-            counted, i = [], 0
-            for u in unknown:
-                counted.append(Counter(zip(number[i : i + len(u)], u)))
-                i += len(u)
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x))
-            columns = [
-                pa.array(np.arange(uid, uid + len(ids))), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(sizes.astype(np.int64)),
-                pa.array(np.add.reduceat(flat >= 0, starts, dtype=np.int64)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(p, starts)),
-                pa.array([[w for _, w in c] for c in counted], pa.list_(pa.binary())), pa.array([[r for r, _ in c] for c in counted], pa.list_(pa.int32())),
-                pa.array([list(c.values()) for c in counted], pa.list_(pa.int32())), lists(anchors.view(np.int64)), lists(keys.view(np.int64)), lists(lp),
-            ]
-            uid += len(ids)
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "p", "word", "run", "times", "a", "k", "lp"])
-
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, p double, word array<binary>, run array<int>, times array<int>, a array<long>, k array<long>, lp array<double>"
-    part = written(rows.mapInArrow(run, schema), "parts")
+        tree, known = shared.value, {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                bucket, part = batch.column("bucket")[row].as_py(), batch.column("part")[row].as_py()
+                if part < parts:  # what is known of the keys of a bucket comes before its texts
+                    known[part] = _array(batch.column("kept")[row].as_py(), np.uint8), _array(batch.column("numbers")[row].as_py(), np.uint32)
+                    continue
+                doc, held, *rest = (batch.column(c)[row].as_py() for c in ("doc_id", "held_out", "sizes", "ids", "unknown"))
+                yield scored(bucket, doc, held, Bucket(tree, *rest, every), known)
+                known = {}
+
+    def scored(bucket: int, doc: list, held: list, b: Bucket, known: dict) -> pa.RecordBatch:
+        cuts = _cuts(b.keys, parts)
+        rest, own = np.ones(len(b.keys)), np.zeros(len(b.keys))
+        for i, (bits, numbers) in known.items():
+            here = cuts[i] + np.flatnonzero(np.unpackbits(bits, count=cuts[i + 1] - cuts[i]))
+            n_a, kinds, seen, n = numbers.reshape(4, -1).astype(float)
+            rest[here] = 1 - (seen - DISCOUNT * kinds) / n_a
+            own[here] = np.where(n > 0, (n - DISCOUNT) / n_a, 0.0)
+        rest, own = rest[b.which], own[b.which]
+        missing = np.flatnonzero(b.ids < 0)
+        # runs that are entries and hold words that aren't in memory wait until these are known
+        waits = np.zeros(len(b.at) + 1, dtype=bool)
+        waits[b.run[missing]] = True
+        waits = waits[:-1] & (own > 0)
+        better = np.where(waits, 0.0, np.log10(own + rest * 10.0**b.lp) - b.lp)
+        # what isn't an entry: its probability in short states may be below the least double
+        better = np.where(~waits & (own == 0), np.log10(rest), better)
+        first = np.searchsorted(b.owner, np.arange(len(b.sizes)))
+        owner = np.searchsorted(b.starts, missing, side="right") - 1
+        of = b.run[missing]
+        number = np.where((of >= 0) & np.append(waits, False)[of], of - first[owner], -1) if len(b.at) else np.full(len(missing), -1)
+        number, cut, counted = number.tolist(), np.searchsorted(owner, np.arange(len(b.sizes) + 1)).tolist(), []
+        for x, y in zip(cut[:-1], cut[1:]):
+            counted.append(Counter(zip(number[x:y], b.words[x:y])))
+        late = np.flatnonzero(waits)
+        offsets = pa.array(np.searchsorted(b.owner[late], np.arange(len(b.sizes) + 1)), pa.int32())
+        lists = lambda x, t: pa.ListArray.from_arrays(offsets, pa.array(x, t))
+        p = np.add.reduceat(b.p, b.starts) + np.bincount(b.owner, better, minlength=len(b.sizes))
+        columns = [
+            pa.array((bucket << 24) + np.arange(len(b.sizes))), pa.array(doc, pa.int64()), pa.array(held, pa.bool_()), pa.array(b.sizes),
+            pa.array(np.add.reduceat(b.ids >= 0, b.starts, dtype=np.int64)), pa.array(np.add.reduceat(b.base, b.starts)), pa.array(p),
+            pa.array([[w for _, w in c] for c in counted], pa.list_(pa.binary())), pa.array([[r for r, _ in c] for c in counted], pa.list_(pa.int32())),
+            pa.array([list(c.values()) for c in counted], pa.list_(pa.int32())),
+            lists(late - first[b.owner[late]], pa.int32()), *(lists(x[late], pa.float64()) for x in (b.lp, rest, own)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "p", "word", "run", "times", "late", "lp", "rest", "own"])
+
+    parts = max(1, tree.total // MOST)
+    states = written(long_states(texts, shared, parts, every), "long_states")
+    none = {c: F.lit(None).cast("binary").alias(c) for c in ("kept", "numbers")}
+    both = texts.select("*", F.lit(parts).cast("long").alias("part"), *none.values()).unionByName(states, allowMissingColumns=True)
+    both = both.repartition("bucket").sortWithinPartitions("bucket", "part")
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, p double, word array<binary>, run array<int>, times array<int>, late array<int>, lp array<double>, rest array<double>, own array<double>"
+    part = written(both.mapInArrow(run, schema), "parts")
     rare = part.select("uid", F.inline(F.arrays_zip("word", "run", "times"))).join(counts, "word", "left")
     n = F.coalesce("n", F.lit(0))
     more = rare.groupBy("uid", "run").agg(F.sum(F.log10((n + ALPHA) / tree.norm) * F.col("times")).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"))
     more = written(more, "more")
-    states, entries = long_states(part.where("NOT held_out").select(F.inline(F.arrays_zip("a", "k", "lp"))))
-    chunks = part.select("uid", F.posexplode(F.arrays_zip("a", "k", "lp")).alias("run", "c")).select("uid", "run", "c.*")
-    # every run behind a kept anchor is at least one that isn't counted; for those that are, the difference is added
-    inside = written(hot_join(chunks, states, "a", "n_a"), "inside")
-    met = hot_join(inside.select("uid", "run", "k", "lp", "rest"), entries, "k", "n").join(more, ["uid", "run"], "left")
-    short = F.col("lp") + F.coalesce("more", F.lit(0.0))
-    here = F.log10(F.col("own") + F.col("rest") * F.pow(F.lit(10.0), short)) - short - F.log10("rest")
+    late = part.select("uid", F.inline(F.arrays_zip(F.col("late").alias("run"), "lp", "rest", "own"))).join(more, ["uid", "run"])
+    short = F.col("lp") + F.col("more")
+    here = F.log10(F.col("own") + F.col("rest") * F.pow(F.lit(10.0), short)) - short
     zero = F.lit(0).cast("long")
-    parts = (
-        more.select("uid", "more", F.lit(0.0).alias("better"), "more_known")
-        .unionAll(inside.select("uid", F.lit(0.0), F.log10("rest"), zero))
-        .unionAll(met.select("uid", F.lit(0.0), here, zero))
-    )
-    sums = parts.groupBy("uid").agg(F.sum("more").alias("more"), F.sum("better").alias("better"), F.sum("more_known").alias("more_known"))
+    sums = more.select("uid", "more", F.lit(0.0).alias("better"), "more_known").unionAll(late.select("uid", F.lit(0.0), here, zero))
+    sums = sums.groupBy("uid").agg(F.sum("more").alias("more"), F.sum("better").alias("better"), F.sum("more_known").alias("more_known"))
     out = part.select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "p").join(sums, "uid", "left")
     out = out.fillna(0, ["more", "better", "more_known"])
     return out.select(

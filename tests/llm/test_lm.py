@@ -235,3 +235,20 @@ def test_hot_anchors_and_long_texts(spark):
     rows += [(500, "long " * 60_000), (501, ""), (502, None), (None, "x"), (503, "long " * 60_000)]
     got = lm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and all(math.isfinite(r.score) and r.score <= 1e-9 for r in got)
+
+
+def test_every_position_has_its_long_state(spark, monkeypatch):
+    """By default no position is left out: the scores are those of a tree in which each four words are an anchor."""
+    monkeypatch.setattr(lm, "WORD", 4e-3)
+    monkeypatch.setattr(lm, "SYMBOL", 6e-3)
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(60)]
+    stretch = [rng.choices(words, k=7) for _ in range(40)]
+    # copied stretches of seven words between words of which some are in no other text
+    rows = [(i, " ".join(w for k in range(6) for w in (*rng.choice(stretch), *rng.choices(words, k=2), f"u{i}x{k}"))) for i in range(120)]
+    got = {r.doc_id: (r.score, r.held_out) for r in lm.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), depth=1).collect()}
+    train = spark.createDataFrame([(t,) for i, t in rows if not got[i][1]], "text string")
+    tree = lm.fit(train, lm.word_counts(train).cache(), 1)
+    want, met = brute_scores([(t, not got[i][1]) for i, t in rows], 1, lambda words: True, lambda w: (lm.END if w is None else w.encode()) not in tree.at)
+    assert met > 1_000 and any((lm.END if w is None else w.encode()) not in tree.at for _, t in rows for w in tokens(t))
+    assert np.allclose([got[i][0] for i, _ in rows], want)
