@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, slabs, table, whole_groups, written
+from .common import mix64, settled, slabs, table, whole_groups
 
 #: Least shares of a word that is looked up in memory, of a symbol, of a context, and of a context with its next symbol.
 WORD, SYMBOL, P_MIN, JOINT = 1e-6, 5e-5, 5e-4, 2e-7
@@ -41,8 +41,9 @@ ALPHA = 0.1
 #: Words of an anchor (more than DEPTH, so that short states of the run behind it don't depend on what is before it), how
 #: many positions have one anchor (every position that has CONTEXT words before it), and the least count of a run.
 CONTEXT, EVERY, TWICE = 4, 1, 2
-#: Positions of a bucket of texts and of a range of anchors, and the bits of a key that tell runs of an anchor apart.
-MOST, _RUN = 1_000_000, np.uint64((1 << 24) - 1)
+#: Positions of a bucket of texts and of a range of anchors, how many of these are worked on at a time, and the bits of a
+#: key that tell runs of an anchor apart.
+MOST, SLICE, _RUN = 1_000_000, 1 << 17, np.uint64((1 << 24) - 1)
 #: The end; no word holds a blank.
 END = b" end"
 
@@ -179,7 +180,7 @@ def fit(texts: DataFrame, counts: DataFrame, depth: int = DEPTH) -> Tree | None:
     tree = root(counts)
     if tree is not None:
         rows = texts.select(F.lit(0).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text")
-        grow(tree, written(encoded(rows, texts.sparkSession.sparkContext.broadcast(tree)), "encoded"), depth)
+        grow(tree, settled(encoded(rows, texts.sparkSession.sparkContext.broadcast(tree)), "encoded"), depth)
     return tree
 
 
@@ -208,7 +209,7 @@ def grow(tree: Tree, texts: DataFrame, depth: int = DEPTH) -> None:
         tree.states.append(np.sort(level))
         keys = tree.states[-1]
         parents.append(keys // tree.symbols)
-        after = written(_transitions(texts, tree), "transitions")
+        after = settled(_transitions(texts, tree), "transitions")
         n_state = np.zeros(len(keys))
         for state, n in after.groupBy("state").agg(F.sum("n")).collect():
             n_state[state] = n
@@ -347,22 +348,46 @@ def encoded(rows: DataFrame, shared, most: int = MOST) -> DataFrame:
 
 
 class Bucket:
-    """The texts of a row of encoded: their positions, with their probabilities in short states, and their runs."""
+    """The texts of a row of encoded: their log10 probabilities at the root and in short states, and their runs.
+
+    Whole texts, about SLICE positions at a time, are walked and hashed, so that only what is kept has a bucket's length.
+    """
 
     def __init__(self, tree: Tree, sizes: list[int], ids: bytes, unknown: bytes, every: int):
-        self.ids, self.sizes = _array(ids, np.int32).astype(np.int64), np.array(sizes, dtype=np.int64)
+        self.ids, self.sizes = _array(ids, np.int32), np.array(sizes, dtype=np.int64)
         self.words = zstandard.decompress(unknown).split()
-        self.base = np.where(self.ids >= 0, tree.log_base[self.ids], 0.0)
-        self.p = np.log10(tree.probabilities(self.ids))
-        # a word of the class of others: its share of the class is that at the root
-        other = (self.ids < 0) | (self.ids >= tree.other)
-        self.p += np.where(other, self.base - np.log10(tree.root[tree.other]), 0.0)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.at, self.run, anchors, keys = runs(self.ids, self.sizes, [self.words], every)
-        self.lp = np.add.reduceat(np.where(self.run >= 0, self.p, 0.0), self.at + 1) if len(self.at) else np.zeros(0)
+        ends = np.cumsum(self.sizes)
+        self.starts = ends - self.sizes
+        self.base, self.p = np.empty(len(self.sizes)), np.empty(len(self.sizes))
+        self.run = np.empty(len(self.ids), dtype=np.int32)
+        owners, lps, keys, words, anchors = [], [], [], 0, 0
+        texts = np.flatnonzero(np.append(True, self.starts[1:] // SLICE != self.starts[:-1] // SLICE)).tolist()
+        for i, j in zip(texts, [*texts[1:], len(self.sizes)]):
+            a, b = int(self.starts[i]), int(ends[j - 1])
+            some = self.ids[a:b].astype(np.int64)
+            base = np.where(some >= 0, tree.log_base[some], 0.0)
+            # a word of the class of others: its share of the class is that at the root
+            other = (some < 0) | (some >= tree.other)
+            p = np.log10(tree.probabilities(some)) + np.where(other, base - np.log10(tree.root[tree.other]), 0.0)
+            missing = int((some < 0).sum())
+            at, run, anchor, key = runs(some, self.sizes[i:j], [self.words[words : words + missing]], every)
+            lps.append(np.add.reduceat(np.where(run >= 0, p, 0.0), at + 1) if len(at) else np.zeros(0))
+            starts = self.starts[i:j] - a
+            self.base[i:j], self.p[i:j] = np.add.reduceat(base, starts), np.add.reduceat(p, starts)
+            self.run[a:b] = np.where(run >= 0, run + anchors, -1)
+            owners.append((np.searchsorted(starts, at, side="right") - 1 + i).astype(np.int32))
+            keys.append(anchor & ~_RUN | key & _RUN)
+            words, anchors = words + missing, anchors + len(at)
+        #: Of each run: which text it is in, and its probability in short states.
+        self.owner, self.lp = np.concatenate(owners), np.concatenate(lps)
         #: Each different pair of an anchor and its run, in order, where one is, and which of them each run is.
-        self.keys, self.one, self.which = np.unique(anchors & ~_RUN | keys & _RUN, return_index=True, return_inverse=True)
-        self.owner = np.searchsorted(self.starts, self.at, side="right") - 1
+        key = np.concatenate(keys)
+        del keys, owners, lps
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        self.keys = key[order]
+        new = np.append(True, self.keys[1:] != self.keys[:-1])[: len(key)]
+        self.keys, self.one, self.which = self.keys[new], order[new], np.empty(len(key), dtype=np.int32)
+        self.which[order] = np.cumsum(new, dtype=np.int32) - 1
 
 
 def _cuts(keys: np.ndarray, parts: int) -> list[int]:
@@ -398,6 +423,18 @@ def kept_runs(key: np.ndarray, n: np.ndarray, lp: np.ndarray) -> tuple[np.ndarra
     return kept[own], np.stack([n_a, kinds, seen])[:, own], n_k[back]
 
 
+def kept_of_range(key: np.ndarray, n: np.ndarray, lp: np.ndarray, some: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """kept_runs of a range of anchors, with its four numbers together, over whole anchors of about some rows at a time."""
+    kept, numbers = np.zeros(len(key), dtype=bool), np.zeros((4, len(key)), dtype=np.uint32)
+    order = np.argsort(key, kind="stable")
+    anchor = key[order] >> np.uint64(24)
+    cuts = np.unique(np.append(np.searchsorted(anchor, anchor[:: some or SLICE]), len(key))).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        at = order[a:b]
+        kept[at], numbers[:3, at], numbers[3, at] = kept_runs(key[at], n[at].astype(np.int64), lp[at].astype(float))
+    return kept, numbers
+
+
 def long_states(texts: DataFrame, shared, parts: int, every: int) -> DataFrame:
     """(bucket, part, kept, numbers): which keys of a bucket have an anchor that is kept as a state, and their counts.
 
@@ -424,13 +461,12 @@ def long_states(texts: DataFrame, shared, parts: int, every: int) -> DataFrame:
                 bucket, keys, n, lp = ([c[x] for x in own] for c in columns)
                 keys = [np.cumsum(_array(x, np.uint64), dtype=np.uint64) for x in keys]
                 cuts = np.cumsum([0, *map(len, keys)])
-                kept, of_anchor, of_run = kept_runs(np.concatenate(keys), np.concatenate([_array(x, np.uint32) for x in n]).astype(np.int64), np.concatenate([_array(x, np.float16) for x in lp]).astype(float))
+                kept, numbers = kept_of_range(np.concatenate(keys), np.concatenate([_array(x, np.uint32) for x in n]), np.concatenate([_array(x, np.float16) for x in lp]))
                 rows = []
                 for b, x, y in zip(bucket, cuts[:-1], cuts[1:]):
                     here = kept[x:y]
                     if here.any():
-                        numbers = np.concatenate([*of_anchor[:, x:y][:, here], of_run[x:y][here]]).astype(np.uint32)
-                        rows.append((b, int(i), _planes(np.packbits(here)), _planes(numbers)))
+                        rows.append((b, int(i), _planes(np.packbits(here)), _planes(numbers[:, x:y][:, here].reshape(-1))))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "part", "kept", "numbers"])
 
@@ -449,13 +485,13 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
     spark = docs.sparkSession
     rows = _with_sides(docs, key, text)
     train = rows.where("NOT held_out").select("text")
-    counts = written(word_counts(train), "words")
+    counts = settled(word_counts(train), "words")
     tree = root(counts)
     if tree is None:
         words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))) + 1
         zero, none = F.lit(0.0), F.lit(0).cast("long")
         return rows.select("doc_id", "held_out", words.cast("long").alias("n_tokens"), none.alias("n_known"), none.alias("train_tokens"), zero.alias("base_score"), zero.alias("score"))
-    texts = written(encoded(rows, spark.sparkContext.broadcast(tree)), "encoded")
+    texts = settled(encoded(rows, spark.sparkContext.broadcast(tree)), "encoded")
     grow(tree, texts, depth)
     shared = spark.sparkContext.broadcast(tree)
 
@@ -482,7 +518,7 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
         rest, own = rest[b.which], own[b.which]
         missing = np.flatnonzero(b.ids < 0)
         # runs that are entries and hold words that aren't in memory wait until these are known
-        waits = np.zeros(len(b.at) + 1, dtype=bool)
+        waits = np.zeros(len(b.owner) + 1, dtype=bool)
         waits[b.run[missing]] = True
         waits = waits[:-1] & (own > 0)
         better = np.where(waits, 0.0, np.log10(own + rest * 10.0**b.lp) - b.lp)
@@ -491,17 +527,17 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
         first = np.searchsorted(b.owner, np.arange(len(b.sizes)))
         owner = np.searchsorted(b.starts, missing, side="right") - 1
         of = b.run[missing]
-        number = np.where((of >= 0) & np.append(waits, False)[of], of - first[owner], -1) if len(b.at) else np.full(len(missing), -1)
+        number = np.where((of >= 0) & np.append(waits, False)[of], of - first[owner], -1) if len(b.owner) else np.full(len(missing), -1)
         number, cut, counted = number.tolist(), np.searchsorted(owner, np.arange(len(b.sizes) + 1)).tolist(), []
         for x, y in zip(cut[:-1], cut[1:]):
             counted.append(Counter(zip(number[x:y], b.words[x:y])))
         late = np.flatnonzero(waits)
         offsets = pa.array(np.searchsorted(b.owner[late], np.arange(len(b.sizes) + 1)), pa.int32())
         lists = lambda x, t: pa.ListArray.from_arrays(offsets, pa.array(x, t))
-        p = np.add.reduceat(b.p, b.starts) + np.bincount(b.owner, better, minlength=len(b.sizes))
+        p = b.p + np.bincount(b.owner, better, minlength=len(b.sizes))
         columns = [
             pa.array((bucket << 24) + np.arange(len(b.sizes))), pa.array(doc, pa.int64()), pa.array(held, pa.bool_()), pa.array(b.sizes),
-            pa.array(np.add.reduceat(b.ids >= 0, b.starts, dtype=np.int64)), pa.array(np.add.reduceat(b.base, b.starts)), pa.array(p),
+            pa.array(np.add.reduceat(b.ids >= 0, b.starts, dtype=np.int64)), pa.array(b.base), pa.array(p),
             pa.array([[w for _, w in c] for c in counted], pa.list_(pa.binary())), pa.array([[r for r, _ in c] for c in counted], pa.list_(pa.int32())),
             pa.array([list(c.values()) for c in counted], pa.list_(pa.int32())),
             lists(late - first[b.owner[late]], pa.int32()), *(lists(x[late], pa.float64()) for x in (b.lp, rest, own)),
@@ -509,16 +545,16 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int
         return pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "p", "word", "run", "times", "late", "lp", "rest", "own"])
 
     parts = max(1, tree.total // MOST)
-    states = written(long_states(texts, shared, parts, every), "long_states")
+    states = settled(long_states(texts, shared, parts, every), "long_states")
     none = {c: F.lit(None).cast("binary").alias(c) for c in ("kept", "numbers")}
     both = texts.select("*", F.lit(parts).cast("long").alias("part"), *none.values()).unionByName(states, allowMissingColumns=True)
     both = both.repartition("bucket").sortWithinPartitions("bucket", "part")
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, p double, word array<binary>, run array<int>, times array<int>, late array<int>, lp array<double>, rest array<double>, own array<double>"
-    part = written(both.mapInArrow(run, schema), "parts")
+    part = settled(both.mapInArrow(run, schema), "parts")
     rare = part.select("uid", F.inline(F.arrays_zip("word", "run", "times"))).join(counts, "word", "left")
     n = F.coalesce("n", F.lit(0))
     more = rare.groupBy("uid", "run").agg(F.sum(F.log10((n + ALPHA) / tree.norm) * F.col("times")).alias("more"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    more = written(more, "more")
+    more = settled(more, "more")
     late = part.select("uid", F.inline(F.arrays_zip(F.col("late").alias("run"), "lp", "rest", "own"))).join(more, ["uid", "run"])
     short = F.col("lp") + F.col("more")
     here = F.log10(F.col("own") + F.col("rest") * F.pow(F.lit(10.0), short)) - short

@@ -4,12 +4,15 @@ import itertools
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
 from histora.llm import lm
 
@@ -252,3 +255,59 @@ def test_every_position_has_its_long_state(spark, monkeypatch):
     want, met = brute_scores([(t, not got[i][1]) for i, t in rows], 1, lambda words: True, lambda w: (lm.END if w is None else w.encode()) not in tree.at)
     assert met > 1_000 and any((lm.END if w is None else w.encode()) not in tree.at for _, t in rows for w in tokens(t))
     assert np.allclose([got[i][0] for i, _ in rows], want)
+
+
+def test_buckets_and_ranges_are_worked_on_in_slices(monkeypatch):
+    """The same from slices of any size, and no arrays of a whole bucket or range but those that are kept."""
+    rng = np.random.default_rng(15)
+    words = sorted([(lm.END, 3_000), *((b"w%d" % i, 2_000_000 // (i + 1)) for i in range(20_000))], key=lambda x: (-x[1], x[0]))
+    tree = lm.Tree(words, 20_000_000, 30_000)
+    tree.states, tree.rest = [np.arange(50)], [np.full(50, 0.5)]
+    tree.entries = [((np.arange(50)[:, None] * tree.symbols + np.arange(5)).ravel(), np.full(250, 0.1))]
+    ids = np.minimum(rng.zipf(1.3, 400_000) - 1, 20_000).astype(np.int32)
+    ids[ids == tree.end] = 0
+    ids[ids == 20_000] = -1
+    sizes = [1, 3, 150_000, 1, 4, 90_000, *[1_000] * 159, 991]
+    ids[np.cumsum(sizes) - 1] = tree.end
+    row = sizes, lm._planes(ids), zstandard.compress(b" ".join(b"u%d" % i for i in range(int((ids < 0).sum()))))
+    found = []
+    for size in (1 << 30, 1_000, 50_000):
+        monkeypatch.setattr(lm, "SLICE", size)
+        b = lm.Bucket(tree, *row, 1)
+        n, lp = np.ones(len(b.keys), np.uint32), b.lp[b.one].astype(np.float16)
+        found.append([b.base, b.p, b.run, b.lp, b.owner, b.keys, b.one, b.which, *lm.kept_of_range(*(np.concatenate([x, x[::3]]) for x in (b.keys, n, lp)))])
+    for other in found[1:]:
+        assert all(np.allclose(x, y) if x.dtype == float else (x == y).all() for x, y in zip(found[0], other))
+    assert len(found[0][5]) > 100_000 and found[0][8].any() and not found[0][8].all()
+    monkeypatch.undo()
+    big = np.concatenate([np.sort(rng.integers(0, 1 << 62, 500_000).astype(np.uint64))] * 2)
+    n, lp = np.ones(len(big), np.uint32), np.full(len(big), -3.0, np.float16)
+    ids = np.tile(ids, 3)[:1_000_000]
+    ids[999::1_000] = tree.end
+    row = [1_000] * 1_000, lm._planes(ids), zstandard.compress(b" ".join(b"u%d" % i for i in range(int((ids < 0).sum()))))
+    for work in (lambda: lm.Bucket(tree, *row, 1), lambda: lm.kept_of_range(big, n, lp)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 90e6
+
+
+def test_a_settled_table_leaves_no_shuffle_files(spark):
+    """On the disk is the table alone, whenever garbage is collected; the session is as before."""
+    from histora.llm.common import settled
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f.name() for f in iter_blocks(manager.getAllBlocks()) if f.name().startswith("shuffle_")}
+
+    def iter_blocks(blocks):
+        return [blocks.apply(i) for i in range(blocks.size())]
+
+    before, setting = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    table = settled(spark.range(10_000).repartition(5, "id").groupBy((lm.F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):  # removal is asynchronous
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
