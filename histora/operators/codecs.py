@@ -23,21 +23,24 @@ CONFLICT_TREES = "jj:trees"
 def parse_tree(data: bytes) -> tuple[list[tuple[int, bytes, bytes]], str | None]:
     """Entries (kind, name, oid) of a tree, and what is wrong with it, if anything is."""
     out: list[tuple[int, bytes, bytes]] = []
-    rest, last = data, b""
-    while rest:
-        mode, blank, rest = rest.partition(b" ")
-        if not blank:
+    at, last = 0, b""
+    while at < len(data):  # by places: what is left isn't copied for each entry
+        blank = data.find(b" ", at)
+        if blank < 0:
             return [], "mode_missing"
+        mode = data[at:blank]
         if mode not in MODES:
             return [], "mode_unknown"
-        name, zero, rest = rest.partition(b"\0")
-        if not zero:
+        zero = data.find(b"\0", blank + 1)
+        if zero < 0:
             return [], "name_unterminated"
+        name = data[blank + 1 : zero]
         if name in (b"", b".", b"..") or b"/" in name:
             return [], "name_invalid"
-        if len(rest) < ID_BYTES:
+        at = zero + 1 + ID_BYTES
+        if len(data) < at:
             return [], "id_truncated"
-        kind, oid, rest = MODES[mode], rest[:ID_BYTES], rest[ID_BYTES:]
+        kind, oid = MODES[mode], data[zero + 1 : at]
         # directories sort as if their name ended in a slash
         place = name + (b"/" if kind == TREE else b"\0")
         if out and out[-1][1] == name:
@@ -149,15 +152,21 @@ def object_refs(objects: DataFrame) -> DataFrame:
     return trees.unionByName(commits).distinct()
 
 
-def audit_objects(objects: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """(kind, id, rule) for objects whose id isn't that of their content, that are too large, or that can't be read."""
-    rule = F.when(F.octet_length("bytes") > most, "too_large").when(~F.col("id").eqNullSafe(content_id(F.col("kind"), F.col("bytes"))), "id_differs")
-    wrong = objects.withColumn("rule", rule).where("rule IS NOT NULL").select("kind", "id", "rule")
+def audit_contents(objects: DataFrame) -> DataFrame:
+    """(kind, id, rule) for objects whose id isn't that of their content, or that can't be read, however large they are."""
+    differs = ~F.col("id").eqNullSafe(content_id(F.col("kind"), F.col("bytes")))
+    wrong = objects.where(differs).select("kind", "id", F.lit("id_differs").alias("rule"))
     trees = tree_entries(objects.where("kind = 1")).where("error IS NOT NULL").select(F.lit(1).alias("kind"), F.col("tree").alias("id"), F.col("error").alias("rule"))
     commits = commit_facts(objects.where("kind = 2")).where("error IS NOT NULL").select(F.lit(2).alias("kind"), F.col("commit_id").alias("id"), F.col("error").alias("rule"))
     return wrong.unionByName(trees).unionByName(commits)
 
 
+def audit_objects(objects: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(kind, id, rule): audit_contents, and objects that are too large; an object has a row for each rule that it breaks."""
+    large = objects.where(F.octet_length("bytes") > most).select("kind", "id", F.lit("too_large").alias("rule"))
+    return large.unionByName(audit_contents(objects))
+
+
 # The manifest's first bytes, version, and the sizes of its header and entries; lengths are little-endian.
 MAGIC, VERSION = b"DSPK", 2
 HEADER_BYTES, HEAD_BYTES, OBJECT_BYTES, CHUNK_BYTES = 96, 20, 44, 80

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from histora.functions import identity
 from histora.operators import codecs, graph, journal, ordering, policy, relations
 from histora.operators.stages import written
+from histora.plans.registry import QUERIES
 
 
 def rows(df):
@@ -74,6 +75,20 @@ def test_trees_and_every_mutation(spark):
     assert codecs.tree_entries(objects.where(F.col("bytes") == F.lit(good))).count() == 4
 
 
+def test_an_object_too_large_is_audited_by_the_other_rules_too(spark, tmp_path):
+    entries = [(b"100644", b"f%08d" % i, b"1" * 20) for i in range(30_000)]
+    good = tree_bytes(entries)
+    parsed, error = codecs.parse_tree(good)
+    assert len(good) > 1 << 20 and error is None and [e[1] for e in parsed] == [e[1] for e in entries]
+    sha = hashlib.sha1(b"tree %d\0" % len(good) + good).hexdigest()
+    objects = spark.createDataFrame([(1, sha, good), (1, "cut", good[:-1])], "kind int, id string, bytes binary")
+    assert rows(codecs.audit_objects(objects)) == sorted([(1, sha, "too_large"), *((1, "cut", r) for r in ("too_large", "id_differs", "id_truncated"))])
+    # nations of very many and of few customers
+    customers = spark.range(30_010).selectExpr("id AS c_custkey", "format_string('Customer#%09d', id) AS c_name", "CAST(if(id < 30000, 1, 2) AS INT) AS c_nationkey")
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    assert rows(QUERIES["object_audit"](spark, str(tmp_path))) == [(1, "id_differs", 2), (1, "id_truncated", 2)]
+
+
 COMMIT = b"tree " + b"a" * 40 + b"\nparent " + b"b" * 40 + b"\nparent " + b"c" * 40 + b"\nauthor A <a> 1 +0000\ncommitter C <c> 2 +0000\nchange-id zzz\ngpgsig one\n two\n\nsubject\n\nbody"
 
 
