@@ -146,6 +146,12 @@ def overlaps(units: DataFrame, plan: Plan, block: int) -> DataFrame:
     return lines.select("unit", "s", "block", lo.alias("lo"), hi.alias("hi"))
 
 
+def met(parts: DataFrame, slots: DataFrame) -> DataFrame:
+    """parts and slots of one block of one source. Both are made of far fewer and smaller rows, by which Spark would take one of
+    them for small enough to go through the driver as a broadcast; they grow with the corpus, so they are merged."""
+    return parts.hint("merge").join(slots.hint("merge"), ["s", "block"])
+
+
 def numbered(rows: DataFrame, unit: str, many: str, count: int) -> DataFrame:
     """Adds _nr, the number of a row among those of its unit, 0 where the column many says that it is alone.
 
@@ -171,7 +177,7 @@ def mix(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, seed: int = SEED)
     units = written(sized.groupBy(alike.alias("unit")).agg(F.count("*").alias("rows")), "units")
     lines = units.select("unit", "unit.source", (F.col("unit.size") * F.col("rows")).alias("size"), F.xxhash64("unit.doc_id", "unit.size").alias("_key"))
     times = drawn(spark, plan, seed).groupBy("s", "block").count()
-    parts = overlaps(lines, plan, block).join(times, ["s", "block"])
+    parts = met(overlaps(lines, plan, block), times)
     got = parts.groupBy("unit").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("count")).alias("all_taken"))
     shared = written(units.join(got, "unit", "left").select("unit", "rows", F.coalesce("all_taken", F.lit(0)).alias("all_taken")), "taken")
     rows = numbered(hot_join(sized.withColumn("unit", alike), shared, "unit", "rows"), "unit", "rows", plan.rows)
@@ -209,7 +215,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, weights=WEIGHTS, seed:
     alike = F.struct("_key", "source", "size")
     units = written(sized.groupBy(alike.alias("unit")).agg(F.count("*").alias("rows")), "units")
     lines = units.select("unit", "unit.source", (F.col("unit.size") * F.col("rows")).alias("size"), "unit._key")
-    drawn_parts = overlaps(lines, plan, block).join(drawn(spark, plan, seed), ["s", "block"]).select("unit", "pass", "lo", "hi")
+    drawn_parts = met(overlaps(lines, plan, block), drawn(spark, plan, seed)).select("unit", "pass", "lo", "hi")
     rows = numbered(hot_join(sized.withColumn("unit", alike), units, "unit", "rows"), "unit", "rows", plan.rows)
     parts = drawn_parts.withColumn("_nr", F.explode(F.expr("sequence(lo div unit.size, (hi - 1) div unit.size)")))
     start = F.col("_nr") * F.col("unit.size")

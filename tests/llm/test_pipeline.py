@@ -201,3 +201,21 @@ def test_stages_keep_any_columns(spark):
         assert stage(docs.limit(0)).count() == 0
     kept = exact_dedup.keep_one(docs).collect()
     assert len(kept) == len({(r.text or "").lower() for r in kept}) == len({(t or "").lower() for t in texts})
+
+
+def test_mixing_sends_no_slots_or_blocks_through_the_driver(spark, monkeypatch):
+    """A few rows become very many slots and blocks; Spark, going by the rows that they are made of, would broadcast them."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat('one two three four ', 2000) AS text", "concat('s', id % 2) AS source")
+    plans, write = [], mixing.written
+
+    def seen(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return df
+
+    monkeypatch.setattr(mixing, "written", lambda df, name: write(seen(df), name))
+    for made in (mixing.mixed_documents, mixing.mix):
+        plans.clear()
+        seen(made(docs))
+        joins = [line for plan in plans for line in plan.split("\n") if "Join [" in line and " block#" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins)
